@@ -124,10 +124,41 @@ concepts AS MATERIALIZED (
   SELECT project, 'customer.' || c_custkey || '.Customer' AS node_id, 'python' AS language,
     {_CONCEPTS}[c_custkey % 13 + 1] AS concept, 3 AS lineno, 4 AS end_lineno, c_mktsegment AS snippet FROM cust
   UNION
-  SELECT project, 'order.' || o_orderkey || '.line' || l_linenumber, 'typescript', lower(p_type),
+  SELECT project, 'order.' || o_orderkey || '.line' || l_linenumber, 'typescript',
+    CASE p_type WHEN 'ECONOMY' THEN 'async-await' WHEN 'LARGE' THEN 'arrow-function' WHEN 'MEDIUM' THEN 'destructuring'
+      WHEN 'PROMO' THEN 'promo' WHEN 'SMALL' THEN 'interface' WHEN 'STANDARD' THEN 'generic' END,
     CAST(l_linenumber * 10 + 1 AS INTEGER), CAST(l_linenumber * 10 + 1 AS INTEGER), p_name
   FROM lineitem JOIN ord ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
+SIGNATURES = """
+signatures AS MATERIALIZED (
+  SELECT DISTINCT n.project, n.region, sha256('[["' || n.file || '","' || sha256(n.project || '/' || n.file) || '"]]') AS signature
+  FROM nodes n)"""
+
+PROGRESS = """
+log AS MATERIALIZED (
+  SELECT m.* EXCLUDE (fresh), CASE WHEN type = 'pass_check' THEN
+      CASE WHEN fresh THEN coalesce(s.signature, 'stale') ELSE 'stale' END END AS signature
+  FROM (
+    SELECT event_id, project, user_id AS learner_id, ts,
+      CASE WHEN event_type IN ('view', 'click') THEN 'visit' WHEN event_type = 'purchase' THEN 'pass_check'
+        WHEN event_type = 'signup' THEN 'mode' WHEN value < 5 THEN 'reset' ELSE 'home' END AS type,
+      'customer.' || CASE WHEN event_type = 'click' THEN user_id ELSE c_custkey END AS region,
+      CASE WHEN event_type = 'signup' THEN CASE WHEN value < 50 THEN 'easy' WHEN value < 200 THEN 'expert' ELSE 'loud' END
+        WHEN event_type = 'error' THEN 'nation.' || (c_custkey % 25) END AS value,
+      value < 40 AS fresh
+    FROM events JOIN cust ON c_custkey = CAST(json_extract_string(props, '$.k') AS BIGINT)) m
+  LEFT JOIN signatures s ON s.project = m.project AND s.region = m.region),
+resets AS (SELECT learner_id, project, max((ts, event_id)) AS cleared FROM log WHERE type = 'reset' GROUP BY ALL),
+kept AS MATERIALIZED (SELECT l.* FROM log l LEFT JOIN resets r ON r.learner_id = l.learner_id AND r.project = l.project
+  WHERE type IN ('visit', 'pass_check') AND (r.cleared IS NULL OR (l.ts, l.event_id) > r.cleared)),
+proofs AS MATERIALIZED (SELECT learner_id, project, region, arg_max(signature, (ts, event_id)) AS signature FROM kept
+  WHERE type = 'pass_check' GROUP BY ALL),
+understood AS MATERIALIZED (SELECT p.learner_id, p.project, p.region FROM proofs p
+  JOIN signatures s ON s.project = p.project AND s.region = p.region AND s.signature = p.signature),
+visited AS MATERIALIZED (SELECT DISTINCT learner_id, project, region FROM kept k WHERE type = 'visit'
+  AND EXISTS (SELECT 1 FROM nodes n WHERE n.project = k.project AND n.region = k.region))"""
+
 CENTRAL = """
 central AS MATERIALIZED (
   SELECT n.project, n.id, count(DISTINCT e.src) AS centrality

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ["canonical", "analytics"]
+FAMILIES = ["canonical", "analytics", "checks", "progress"]
 
 
 def all_queries() -> dict[str, Query]:

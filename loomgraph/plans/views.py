@@ -20,6 +20,12 @@ PYTHON_CONCEPTS = [
     "exception-handling", "type-hint",
 ]
 
+# Which concept a line carries for its part's type; ``promo`` has no note.
+TYPE_CONCEPTS = {
+    "ECONOMY": "async-await", "LARGE": "arrow-function", "MEDIUM": "destructuring",
+    "PROMO": "promo", "SMALL": "interface", "STANDARD": "generic",
+}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -253,8 +259,13 @@ def files(node_table: DataFrame) -> DataFrame:
     )
 
 
+def _type_concept() -> Column:
+    pairs = [F.lit(v) for pair in TYPE_CONCEPTS.items() for v in pair]
+    return F.create_map(*pairs)[F.col("p_type")]
+
+
 def concepts(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers carry Python concepts in turn, ordered parts carry their type."""
+    """Customers carry Python concepts in turn, lines one by their part's type."""
     cycle = F.array(*[F.lit(c) for c in PYTHON_CONCEPTS])
     buyer = customers(spark, folder).select(
         "project", _ident("customer.", "c_custkey", ".Customer").alias("node_id"),
@@ -270,7 +281,7 @@ def concepts(spark: SparkSession, folder: str) -> DataFrame:
     bought = line.select(
         "project",
         F.concat(_ident("order.", "o_orderkey"), F.lit(".line"), F.col("l_linenumber").cast("string")).alias("node_id"),
-        F.lit("typescript").alias("language"), F.lower("p_type").alias("concept"),
+        F.lit("typescript").alias("language"), _type_concept().alias("concept"),
         (F.col("l_linenumber") * 10 + 1).cast("int").alias("lineno"),
         (F.col("l_linenumber") * 10 + 1).cast("int").alias("end_lineno"), F.col("p_name").alias("snippet"))
     return buyer.unionByName(bought).distinct().select(*CONCEPT_COLUMNS)
@@ -279,3 +290,29 @@ def concepts(spark: SparkSession, folder: str) -> DataFrame:
 def code_graph(spark: SparkSession, folder: str) -> CodeGraph:
     node_table = nodes(spark, folder)
     return CodeGraph(node_table, edges(spark, folder), files(node_table), concepts(spark, folder))
+
+
+def progress_events(spark: SparkSession, folder: str, signatures: DataFrame) -> DataFrame:
+    """The events table as a learner's log.
+
+    The project is that of the customer an event's ``k`` names. Clicks name the
+    learner's own customer module, which often lies in another project, so some
+    visits point at regions that do not exist.
+    """
+    event = table(spark, folder, "events").withColumn(
+        "k", F.get_json_object("props", "$.k").cast("long"))
+    place = customers(spark, folder).select("project", F.col("c_custkey").alias("k"))
+    kind = F.col("event_type")
+    mapped = event.join(place, "k").select(
+        "event_id", "project", F.col("user_id").alias("learner_id"), "ts",
+        F.when(kind.isin("view", "click"), "visit").when(kind == "purchase", "pass_check")
+        .when(kind == "signup", "mode").when(F.col("value") < 5, "reset").otherwise("home").alias("type"),
+        F.concat(F.lit("customer."), F.when(kind == "click", F.col("user_id")).otherwise(F.col("k")).cast("string")).alias("region"),
+        F.when(kind == "signup", F.when(F.col("value") < 50, "easy").when(F.col("value") < 200, "expert").otherwise("loud"))
+        .when(kind == "error", F.concat(F.lit("nation."), (F.col("k") % 25).cast("string"))).alias("value"),
+        (F.col("value") < 40).alias("fresh"))
+    known = signatures.withColumnRenamed("signature", "current")
+    return mapped.join(known, ["project", "region"], "left").select(
+        "event_id", "project", "learner_id", "ts", "type", "region",
+        F.when(F.col("type") == "pass_check", F.when(F.col("fresh"), F.coalesce("current", F.lit("stale"))).otherwise("stale")).alias("signature"),
+        "value")

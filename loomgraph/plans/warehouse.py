@@ -12,11 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.operators import analytics, canonical
+from loomgraph.operators import analytics, canonical, checks, progress
 from loomgraph.plans import views
 from loomgraph.session import cut
 
-_INPUTS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+_INPUTS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
 _BUILT: dict[tuple, dict[str, DataFrame]] = {}
 
 
@@ -61,5 +61,12 @@ BUILDERS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "hops": lambda w: analytics.hops(w.regions, w.region_edges),
     "layers": lambda w: analytics.call_layers(w.nodes, w.edges),
     "components": lambda w: analytics.components(w.region_edges),
+    "signatures": lambda w: progress.signatures(w.nodes, w.files),
+    "events": lambda w: views.progress_events(w.spark, w.folder, w.signatures),
+    "understood": lambda w: progress.understood(w.events, w.signatures),
+    "visited": lambda w: progress.visited(w.events, w.regions),
+    "claims": lambda w: checks.all_claims(w.nodes, w.edges, w.homes),
+    "options": lambda w: checks.options(w.claims, w.nodes),
+    "suites": lambda w: checks.suites(w.claims, w.options),
     "workflow": lambda w: analytics.workflow(w.nodes, w.edges, w.homes),
 }
