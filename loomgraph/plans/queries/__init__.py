@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ["canonical", "analytics", "checks", "progress"]
+FAMILIES = ["canonical", "analytics", "checks", "progress", "reporting"]
 
 
 def all_queries() -> dict[str, Query]:
