@@ -316,3 +316,126 @@ def progress_events(spark: SparkSession, folder: str, signatures: DataFrame) ->
         "event_id", "project", "learner_id", "ts", "type", "region",
         F.when(F.col("type") == "pass_check", F.when(F.col("fresh"), F.coalesce("current", F.lit("stale"))).otherwise("stale")).alias("signature"),
         "value")
+
+
+# ---- the same tables as Python source files ------------------------------
+
+def _file(rows: DataFrame, path: Column, *lines: Column | str) -> DataFrame:
+    text = F.concat_ws("\n", *[F.lit(line) if isinstance(line, str) else line for line in lines])
+    return rows.select("project", path.alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+def _say(pattern: str, *keys: str) -> Column:
+    return F.format_string(pattern, *[F.col(k) for k in keys])
+
+
+def source_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One Python file per nation, supplier, customer and order.
+
+    A file's text depends on its own row only, so writing it needs no grouping.
+    Orders in status P do not parse.
+    """
+    nation = _file(
+        _places(spark, folder), _ident("app/geo/nation_", "n_nationkey", ".py"),
+        "from dataclasses import dataclass",
+        "",
+        "@dataclass",
+        "class Nation:",
+        "    code: int = 0",
+        "    def locate(self):",
+        "        return f'{self.code}'",
+        "    async def fetch(self):",
+        "        async with self.session() as s:",
+        "            await s.go()",
+        "",
+        "def visit(place):",
+        "    if (n := len(place)) > 1:",
+        "        raise ValueError(n)",
+    )
+    supplier = _file(
+        suppliers(spark, folder), _ident("app/suppliers/supplier_", "s_suppkey", ".py"),
+        "from fastapi import FastAPI",
+        "import typing",
+        _say("import app.geo.nation_%d as home", "s_nationkey"),
+        "app = FastAPI()",
+        "class Supplier(typing.Protocol):",
+        _say("    def deliver_%d(self):", "s_suppkey"),
+        "        ...",
+        "class Backup(Supplier):",
+        _say("    def deliver_%d(self):", "s_suppkey"),
+        "        yield 1",
+        "def main(thing):",
+        _say("    thing.deliver_%d()", "s_suppkey"),
+        "    home.visit('x')",
+        "    home.lost()",
+        "    typing.cast(int, 1)",
+        "main(None)",
+    )
+    customer = _file(
+        customers(spark, folder), _ident("app/customers/customer_", "c_custkey", ".py"),
+        _say("from ..geo.nation_%d import Nation, visit as go", "c_nationkey"),
+        "class Customer(Nation):",
+        "    label: str = ''",
+        "    def __init__(self, name: str):",
+        "        self.reset()",
+        "        self.locate()",
+        "    def reset(self):",
+        "        print(self.label)",
+        "        self.code.bump()",
+        "def build():",
+        _say("    def inner_%d(x):", "c_custkey"),
+        "        return [go(i) for i in x]",
+        "    Customer('x').locate()",
+        _say("    inner_%d([])", "c_custkey"),
+        "    return (lambda: 0)()",
+        "def build():",
+        "    return None",
+    )
+    order = orders(spark, folder)
+    whole = order.where(F.col("o_orderstatus") != "P")
+    order_file = _file(
+        whole, _ident("app/orders/order_", "o_orderkey", ".py"),
+        _say("from app.customers.customer_%d import Customer, build", "o_custkey"),
+        "from app.missing import ghost",
+        "import json",
+        "class Order:",
+        "    def run(self, buyer: Customer):",
+        "        buyer.reset()",
+        "        buyer.locate()",
+        "        build()",
+        "        ghost()",
+        "        helper()",
+        "        with open('f') as f:",
+        "            return json.dumps(f)",
+        "def helper():",
+        "    try:",
+        "        nothing()",
+        "    except ValueError:",
+        "        pass",
+        F.when(F.col("o_orderstatus") == "F", "if __name__ == '__main__':\n    helper()").otherwise("helper()"),
+    )
+    broken = _file(
+        order.where(F.col("o_orderstatus") == "P"), _ident("app/orders/order_", "o_orderkey", ".py"),
+        "def broken(:", "    pass")
+    return nation.unionByName(supplier).unionByName(customer).unionByName(order_file).unionByName(broken)
+
+
+# Fixed cycle of extensions given to documents, known and unknown alike.
+DOCUMENT_EXTENSIONS = [".py", ".ts", ".go", ".java", ".rs", ".cs", ".jsx", ".c", ".h", ".txt", ".kt", ".PY"]
+
+
+def document_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of twenty projects, each with a root ignore file."""
+    doc = table(spark, folder, "documents")
+    names = F.array(*[F.lit(e) for e in DOCUMENT_EXTENSIONS])
+    key = F.col("doc_id")
+    where = F.element_at(F.array(*[F.lit(d) for d in (
+        "", "src/", "src/gen/", "node_modules/x/", ".cache/", "vendor/", "docs/old/", "build/", "src/keep/deep/")]),
+        (key % 9 + 1).cast("int"))
+    path = F.concat(where, F.col("lang"), F.lit("_"), key.cast("string"),
+                    F.element_at(names, (F.floor(key / 9) % len(DOCUMENT_EXTENSIONS) + 1).cast("int")))
+    files = doc.select(F.col("source").alias("project"), path.alias("path"), F.encode("text", "UTF-8").alias("content"))
+    rules = "# kept short\n*_1?.go\ngen/\n!src/gen/en_2.py\ndocs/*\n/src/keep/deep\n*.txt\n!fr_*.txt\n"
+    ignore = doc.select(F.col("source").alias("project")).distinct().select(
+        "project", F.lit(".gitignore").alias("path"), F.encode(F.lit(rules), "UTF-8").alias("content"))
+    return files.unionByName(ignore)

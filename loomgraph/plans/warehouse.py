@@ -12,9 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.operators import analytics, canonical, checks, progress
+from loomgraph.operators import analytics, canonical, checks, extract, progress
 from loomgraph.plans import views
 from loomgraph.session import cut
+from loomgraph.sources import corpus
 
 _INPUTS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
 _BUILT: dict[tuple, dict[str, DataFrame]] = {}
@@ -68,5 +69,8 @@ BUILDERS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "claims": lambda w: checks.all_claims(w.nodes, w.edges, w.homes),
     "options": lambda w: checks.options(w.claims, w.nodes),
     "suites": lambda w: checks.suites(w.claims, w.options),
+    "sources": lambda w: views.source_files(w.spark, w.folder),
+    "facts": lambda w: extract.facts(w.sources),
+    "documents": lambda w: corpus.scan_table(views.document_files(w.spark, w.folder)),
     "workflow": lambda w: analytics.workflow(w.nodes, w.edges, w.homes),
 }
