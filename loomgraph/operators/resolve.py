@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.plans.iterate import expand
+from loomgraph.session import cut
 
 EDGE = ["project", "src", "dst", "kind", "certain", "lineno", "external"]
 
@@ -17,10 +18,11 @@ def tiered(keys: list[str], tiers: Sequence[DataFrame]) -> DataFrame:
     """Candidates of the lowest tier that has any, per key; ties are all kept.
 
     Each tier holds ``keys`` plus ``dst, certain, external``. The lowest tier is
-    found by a grouped minimum, which combines before the shuffle.
+    found by a grouped minimum, which combines before the shuffle. Candidates
+    are written first, since both that minimum and the result read them.
     """
-    pool = reduce(DataFrame.unionByName, [
-        t.select(*keys, "dst", "certain", "external", F.lit(n).alias("tier")) for n, t in enumerate(tiers)])
+    pool = cut(reduce(DataFrame.unionByName, [
+        t.select(*keys, "dst", "certain", "external", F.lit(n).alias("tier")) for n, t in enumerate(tiers)]), "candidates")
     best = pool.groupBy(*keys).agg(F.min("tier").alias("tier"))
     return pool.join(best, [*keys, "tier"], "left_semi").select(*keys, "dst", "certain", "external").distinct()
 

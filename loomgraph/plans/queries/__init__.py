@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ["canonical", "analytics", "checks", "progress", "reporting", "sources", "python_source", "other_languages"]
+FAMILIES = ["canonical", "analytics", "checks", "progress", "reporting", "sources", "python_source", "other_languages", "study"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -292,14 +292,15 @@ def code_graph(spark: SparkSession, folder: str) -> CodeGraph:
     return CodeGraph(node_table, edges(spark, folder), files(node_table), concepts(spark, folder))
 
 
-def progress_events(spark: SparkSession, folder: str, signatures: DataFrame) -> DataFrame:
-    """The events table as a learner's log.
+def progress_events(spark: SparkSession, folder: str, signatures: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """The events table, or a batch of it, as a learner's log.
 
     The project is that of the customer an event's ``k`` names. Clicks name the
     learner's own customer module, which often lies in another project, so some
     visits point at regions that do not exist.
     """
-    event = table(spark, folder, "events").withColumn(
+    raw = table(spark, folder, "events") if events is None else events
+    event = raw.withColumn(
         "k", F.get_json_object("props", "$.k").cast("long"))
     place = customers(spark, folder).select("project", F.col("c_custkey").alias("k"))
     kind = F.col("event_type")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.operators import analytics, canonical, checks, extract, progress
+from loomgraph.operators import analytics, canonical, checks, extract, progress, study
 from loomgraph.plans import views
 from loomgraph.session import cut
 from loomgraph.sources import corpus
@@ -43,8 +43,12 @@ class Warehouse:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in BUILDERS:
             raise AttributeError(name)
+        return self.stored(name, lambda: BUILDERS[name](self))
+
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The written table ``name``, built now if this is its first use."""
         if name not in self._tables:
-            self._tables[name] = cut(BUILDERS[name](self), name)
+            self._tables[name] = cut(build(), name)
         return self._tables[name]
 
 
@@ -72,5 +76,8 @@ BUILDERS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "sources": lambda w: views.source_files(w.spark, w.folder),
     "facts": lambda w: extract.facts(w.sources),
     "documents": lambda w: corpus.scan_table(views.document_files(w.spark, w.folder)),
+    "lines": lambda w: corpus.decode_lines(w.documents),
+    "neighbors": lambda w: study.neighbors(w.nodes, w.edges),
+    "lens": lambda w: study.lens_join(w.concepts, w.nodes),
     "workflow": lambda w: analytics.workflow(w.nodes, w.edges, w.homes),
 }
