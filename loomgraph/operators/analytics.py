@@ -166,6 +166,27 @@ def blast_radius(
         F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
+def blast_radius_all(nodes: DataFrame, edges: DataFrame, max_depth: int = BLAST_DEPTH) -> DataFrame:
+    """``blast_radius`` from every node at once.
+
+    What a node affects is what depends on it, so one outbound walk from all
+    nodes is read both ways round.
+    """
+    inside = cut(internal_edges(edges, nodes).groupBy("project", "src", "dst").agg(F.bool_or("certain").alias("certain")), "inside")
+    outbound = inside.select("project", F.col("src").alias("at"), F.col("dst").alias("to"), "certain")
+    reached, cut_out = walk(inside.select("project", F.col("src").alias("id")).distinct(), outbound, max_depth)
+    reached = cut(reached, "reach_all")
+    called = inside.select("project", F.col("dst").alias("start")).distinct()
+    cut_in = reached.where(F.col("depth") == max_depth).join(called, ["project", "start"], "left_semi").select(
+        "project", F.col("node").alias("start")).distinct()
+    rows = reached.withColumn("direction", F.lit("depends_on")).unionByName(reached.select(
+        "project", F.col("node").alias("start"), F.col("start").alias("node"), "depth", "certain", F.lit("affects").alias("direction")))
+    short = cut_in.unionByName(cut_out).distinct().withColumn("truncated", F.lit(True))
+    return rows.join(short, ["project", "start"], "left").select(
+        "project", "start", "direction", "node", "depth", "certain",
+        F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
 def cite(rows: DataFrame, nodes: DataFrame, column: str = "node") -> DataFrame:
     """Attach name, kind, language and ``file:line`` of the node in ``column``."""
     facts = nodes.select(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.sources.corpus import python_text
-from loomgraph.session import cut
+from loomgraph.session import cut, spread
 
 # Syntax to concept.
 CONCEPT_OF = {
@@ -239,10 +239,13 @@ def facts(corpus: DataFrame) -> DataFrame:
     """All facts of the Python files, written once as a tagged union.
 
     A project whose root is itself a package prefixes its modules with its name.
+    Those projects are written first, so the join that would otherwise move
+    every file's content is a broadcast as long as their true size allows it.
+    ``corpus`` is a stored table or a directory scan.
     """
-    packages = corpus.where(F.col("path") == "__init__.py").select("project", F.col("project").alias("package"))
-    files = corpus.where(F.col("path").endswith(".py")).join(packages, "project", "left")
-    read = files.select("project", "path", "package", "content").mapInArrow(_read, FACTS)
+    packages = cut(corpus.where(F.col("path") == "__init__.py").select("project", F.col("project").alias("package")), "packages")
+    files = spread(corpus.where(F.col("path").endswith(".py")).select("project", "path", "content"))
+    read = files.join(packages, "project", "left").select("project", "path", "package", "content").mapInArrow(_read, FACTS)
     return cut(read, "facts")
 
 

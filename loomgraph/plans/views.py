@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.schema import CONCEPT_COLUMNS, EDGE_COLUMNS, NODE_COLUMNS, CodeGraph
+from loomgraph.session import spread
 
 # The concept ids a Python file can carry.
 PYTHON_CONCEPTS = [
@@ -61,9 +62,9 @@ def suppliers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, folder: str) -> DataFrame:
-    order = table(spark, folder, "orders").select(
+    order = spread(table(spark, folder, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"
-    )
+    ))
     buyer = customers(spark, folder).select("project", "c_custkey", "linked")
     return order.join(buyer, order.o_custkey == buyer.c_custkey).drop("c_custkey")
 
@@ -122,7 +123,7 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
     order_class = order.select(*_node(
         "class", _ident("order.", "o_orderkey", ".Order"), "typescript", _order_file(), F.lit(2), F.lit(8), order_id))
     item = (
-        table(spark, folder, "lineitem")
+        spread(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
         .groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("quantity"))
     )
     line = item.join(order, item.l_orderkey == order.o_orderkey).select(*_node(
@@ -138,7 +139,7 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
                                 F.lit(2), F.lit(4), supplier_id))
 
     ordered = (
-        table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
+        spread(table(spark, folder, "lineitem").select("l_orderkey", "l_partkey"))
         .join(order.select("o_orderkey", "project"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select("project", "l_partkey").distinct()
     )
@@ -213,9 +214,9 @@ def raw_edges(spark: SparkSession, folder: str) -> DataFrame:
         latest, _edge(_ident("customer.", "o_custkey"), order_id, "import", F.lit(False), F.lit(2)))
 
     line = (
-        table(spark, folder, "lineitem")
-        .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus",
-                "l_tax", "l_discount")
+        spread(table(spark, folder, "lineitem")
+               .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus",
+                       "l_tax", "l_discount"))
         .join(order.select("project", "o_orderkey", "linked"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(suppliers(spark, folder).select(F.col("project").alias("s_project"), "s_suppkey"),
               F.col("l_suppkey") == F.col("s_suppkey"))
@@ -273,7 +274,7 @@ def concepts(spark: SparkSession, folder: str) -> DataFrame:
         F.element_at(cycle, (F.col("c_custkey") % len(PYTHON_CONCEPTS) + 1).cast("int")).alias("concept"),
         F.lit(3).alias("lineno"), F.lit(4).alias("end_lineno"), F.col("c_mktsegment").alias("snippet"))
     line = (
-        table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+        spread(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
         .join(orders(spark, folder).select("project", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, folder, "part").select("p_partkey", "p_type", "p_name"),
               F.col("l_partkey") == F.col("p_partkey"))
