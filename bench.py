@@ -19,7 +19,7 @@ HEADLINE = [
     "a1_communities", "a3_hops", "a5_blast_radius", "a5_blast_summary", "a6_call_layers", "a8_import_cycles", "a10_workflow_expand",
     "k3_removal_impact", "k5_options", "p2_understood", "p8_progress_stream",
     "l3_concept_chart", "l4_project_overview", "l7_community_groups", "l11_name_rank",
-    "s2_ignore_filter", "s7_decode_lines", "f1_py_defs", "r1_py_import", "c4_py_calls", "c8_rust_calls",
+    "s2_ignore_filter", "s7_decode_lines", "f1_py_defs", "r1_py_import", "c4_py_calls", "c6_go_calls",
     "t1_neighbors", "t4_structural_summary", "t7_ground_responses",
 ]
 # Tables the queries read; writing them is the build of the graph.

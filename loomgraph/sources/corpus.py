@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import fnmatch
+from collections.abc import Iterator
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loomgraph.functions.paths import extension, segments, top_directory
+from loomgraph.plans.iterate import expand
 from loomgraph.plans.ranking import top_rows
+from loomgraph.session import cut
 
 # Directories never read, besides hidden ones.
 SKIPPED_DIRECTORIES = ["venv", ".venv", "node_modules", "__pycache__"]
@@ -41,16 +45,57 @@ SCOPE_ROWS = 6
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 
 
-def scan_directory(spark: SparkSession, root: str, project: str) -> DataFrame:
-    """Read a directory tree as ``(project, path, ext, content)``."""
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    inside = F.regexp_replace("path", f"^.*?{_quoted(base)}/", "")
-    return with_extension(files.select(F.lit(project).alias("project"), inside.alias("path"), "content"))
+def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of each directory, with whether they are directories."""
+    from pyarrow import fs
+
+    for batch in batches:
+        found = []
+        for entry in batch.to_pylist():
+            store, base = fs.FileSystem.from_uri(entry["root"])
+            inside = f"{base}/{entry['path']}".rstrip("/")
+            for info in store.get_file_info(fs.FileSelector(inside)):
+                found.append((entry["root"], info.path.removeprefix(base).lstrip("/"), info.type == fs.FileType.Directory))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.bool_()))],
+            names=["root", "path", "is_directory"])
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
 
+    for batch in batches:
+        for entry in batch.to_pylist():
+            store, base = fs.FileSystem.from_uri(entry["root"])
+            with store.open_input_stream(f"{base}/{entry['path']}") as stream:
+                content = stream.readall()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([entry["path"]]), pa.array([content], pa.binary())], names=["path", "content"])
 
-def _quoted(text: str) -> str:
-    return "".join("\\" + c if not c.isalnum() and c not in "/_" else c for c in text)
+
+def scan_directory(spark: SparkSession, root: str, project: str) -> DataFrame:
+    """Read a directory tree as ``(project, path, ext, content)``.
+
+    Spark's own file listing leaves out empty files and names that start with a
+    dot or an underscore, which here are ``.gitignore`` and ``__init__.py``. So
+    directories are listed by tasks, one level per round, and hidden or skipped
+    ones are not entered; then tasks read the files. The result is written, so
+    every later use reads a table and not the tree.
+    """
+    uri = root.rstrip("/") if "://" in root else f"file://{root.rstrip('/')}"
+    entries = "root string, path string, is_directory boolean"
+    name = F.element_at(F.split("path", "/"), -1)
+    entered = F.col("is_directory") & ~name.startswith(".") & ~name.isin(*SKIPPED_DIRECTORIES)
+
+    def step(frontier: DataFrame, number: int) -> DataFrame:
+        inner = frontier.where("is_directory").select("root", "path")
+        return inner.repartition(inner.sparkSession.sparkContext.defaultParallelism).mapInArrow(_children, entries).where(
+            entered | ~F.col("is_directory"))
+
+    start = spark.createDataFrame([(uri, "", True)], entries)
+    files = expand(start, step, ["root", "path"]).where(~F.col("is_directory")).select("root", "path")
+    read = files.repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(_contents, "path string, content binary")
+    return cut(with_extension(read.select(F.lit(project).alias("project"), "path", "content")), "corpus")
 
 
 def scan_table(corpus: DataFrame) -> DataFrame:

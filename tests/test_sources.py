@@ -18,16 +18,16 @@ def test_walk_rules(spark, tmp_path):
     root = tree(tmp_path, {
         ".gitignore": "# comment\n*.log.py\n!keep.log.py\nout/\ngen/*.ts\n/only.py\n[ab].js\n",
         "a.py": "", "x.log.py": "", "keep.log.py": "", "out/b.py": "", "deep/out/c.py": "", "gen/d.ts": "", "gen/sub/e.ts": "",
-        "only.py": "", "deep/only.py": "", "a.js": "", "c.js": "", "node_modules/m.js": "", ".hidden/h.py": "", "vendor/v.go": "",
+        "only.py": "", "deep/only.py": "", "deep/__init__.py": "", "a.js": "", "c.js": "", "node_modules/m.js": "", ".hidden/h.py": "", "vendor/v.go": "",
         "vendor/v.py": "", "k.kt": "", "deep/k.kt": "", "s.h": "", "t.txt": ""})
     kept = ops.keep_readable(ops.scan_directory(spark, root, "p"))
     assert [r[0] for r in rows(kept, "path")] == sorted([
-        ".gitignore", "a.py", "keep.log.py", "c.js", "vendor/v.go", "vendor/v.py", "k.kt", "deep/k.kt", "s.h", "t.txt"])
+        ".gitignore", "a.py", "keep.log.py", "deep/__init__.py", "c.js", "vendor/v.go", "vendor/v.py", "k.kt", "deep/k.kt", "s.h", "t.txt"])
     owned = ops.ownership(kept)
     assert rows(owned, "path", "language") == [
-        ("a.py", "python"), ("c.js", "javascript"), ("keep.log.py", "python"), ("vendor/v.py", "python")]
+        ("a.py", "python"), ("c.js", "javascript"), ("deep/__init__.py", "python"), ("keep.log.py", "python"), ("vendor/v.py", "python")]
     assert rows(ops.unsupported_tally(kept), "ext", "language", "count") == [(".h", None, 1), (".kt", "Kotlin", 2)]
-    assert rows(ops.scope_counts(owned), "scope", "files", "place") == [(".", 3, 1), ("vendor", 1, 2)]
+    assert rows(ops.scope_counts(owned), "scope", "files", "place") == [(".", 3, 1), ("deep", 1, 2), ("vendor", 1, 3)]
 
 
 def test_lines_and_hash(spark):
