@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import line_dedup, mixing, quality, urls
+from loomgraph.llm import line_dedup, mixing, ngram_join, quality, urls
 from loomgraph.llm.text import table
 
 
@@ -103,10 +103,39 @@ FROM split LEFT JOIN fits USING (page_id) LEFT JOIN hits USING (page_id)
 """.replace("-- PATTERNS", ", ".join(f"('{r.name}', '{r.pattern}')" for r in PATTERN_RULES))
 
 
+def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+NGRAM_JOIN_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM words
+), sizes AS (
+    SELECT doc_id, count(s) AS n FROM words LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
+), links AS (
+    SELECT x.doc_id AS a, y.doc_id AS b
+    FROM shingles x JOIN shingles y ON x.s = y.s JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id
+    GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))
+), reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a
+)
+SELECT doc_id, n AS n_shingles, component_id
+FROM sizes JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
+    "op10_ngram_join": op10_ngram_join,
 }
-SQL = {"op3_line_dedup": LINE_DEDUP_SQL, "op5_url_filters": URL_FILTERS_SQL}
+SQL = {"op3_line_dedup": LINE_DEDUP_SQL, "op5_url_filters": URL_FILTERS_SQL, "op10_ngram_join": NGRAM_JOIN_SQL}
