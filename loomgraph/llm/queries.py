@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import line_dedup, mixing, ngram_join, quality, urls
+from loomgraph.llm import fingerprints, line_dedup, mixing, ngram_join, quality, toxicity, urls
 from loomgraph.llm.text import table
 
 
@@ -103,6 +103,17 @@ FROM split LEFT JOIN fits USING (page_id) LEFT JOIN hits USING (page_id)
 """.replace("-- PATTERNS", ", ".join(f"('{r.name}', '{r.pattern}')" for r in PATTERN_RULES))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, out = table(spark, folder, "documents").select("doc_id", "text"), toxicity.held_out(F.col("doc_id"))
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(~out)
+    scored = toxicity.scores(docs, toxicity.fit(docs.where(~out), labels))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.neighbour_fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -136,6 +147,8 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
+    "op6_toxicity": op6_toxicity,
+    "op9_fingerprints": op9_fingerprints,
     "op10_ngram_join": op10_ngram_join,
 }
 SQL = {"op3_line_dedup": LINE_DEDUP_SQL, "op5_url_filters": URL_FILTERS_SQL, "op10_ngram_join": NGRAM_JOIN_SQL}
