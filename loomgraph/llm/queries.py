@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import fingerprints, line_dedup, mixing, ngram_join, quality, toxicity, urls
+from loomgraph.llm import bpe, fingerprints, language_model, line_dedup, mixing, ngram_join, quality, toxicity, urls
 from loomgraph.llm.text import table
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def vocabulary() -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.Vocabulary(tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
+    return coded.select(
+        "doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("_size"))
     taken = mixing.taken(docs, [F.col("doc_id"), F.col("_size")])
@@ -110,6 +131,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return language_model.scored(docs, language_model.held_out(F.col("doc_id")), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.neighbour_fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -143,11 +169,13 @@ FROM sizes JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY d
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op6_toxicity": op6_toxicity,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_fingerprints": op9_fingerprints,
     "op10_ngram_join": op10_ngram_join,
 }
