@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, fingerprints, language_model, line_dedup, mixing, ngram_join, quality, toxicity, urls
+from loomgraph.llm import bpe, fingerprints, language_model, licences, line_dedup, mixing, ngram_join, quality, toxicity, urls
 from loomgraph.llm.text import table
 
 
@@ -131,6 +131,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_licence_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("_own.doc_id", "licence", F.array_join("notices", ",").alias("notices"))
+
+
 def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return language_model.scored(docs, language_model.held_out(F.col("doc_id")), tokenizer("byte_bpe_50k.tiktoken"))
@@ -175,6 +180,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op6_toxicity": op6_toxicity,
+    "op7_licence_scans": op7_licence_scans,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_fingerprints": op9_fingerprints,
     "op10_ngram_join": op10_ngram_join,
