@@ -109,13 +109,13 @@ def slots(sources: DataFrame, block_words: int, seed: int, shard_blocks: int) ->
     source with most of the blocks is spread.
     """
     size, block = F.col("source_size"), F.lit(block_words)
-    chunk = 65_536
+    chunk, tasks = 8192, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = sources.withColumn("wanted", F.round("target").cast("long")).where("source_size > 0")
     blocks = blocks.withColumn("blocks", F.ceil(size / block).cast("long"))
     total = F.sum(F.ceil(F.col("wanted") / block)).over(Window.partitionBy())
     blocks = blocks.withColumn("shards", F.greatest(F.lit(1), F.ceil(total / shard_blocks)).cast("long"))
     chunks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(blocks - 1) div {chunk}"))))
-    spread = chunks.repartition("source", "chunk")
+    spread = chunks.repartition(tasks, "source", "chunk")
     numbers = F.sequence(F.col("chunk") * chunk, F.least((F.col("chunk") + 1) * chunk, F.col("blocks")) - 1)
     numbered = spread.withColumn("index", F.explode(numbers)).withColumn("round", F.explode(F.array(F.lit(0), F.lit(1))))
     # The short last block comes first in every pass, so that the words before a slot are known.
@@ -164,7 +164,8 @@ def mix(
     )
     filled = slots(sizes, block_words, seed, shard_blocks).alias("f")
     same = F.col("f.source").eqNullSafe(F.col("p.source")) & (F.col("f.block") == F.col("p.block"))
-    spans = filled.join(packed.alias("p"), same).select(
+    # Both sides grow with the input, though the exploded one is estimated small: never a broadcast.
+    spans = filled.hint("merge").join(packed.alias("p").hint("merge"), same).select(
         "f.shard", "f.spot", "f.source", "p._from", "p.start",
         F.least(F.col("p.length"), F.col("f.words") - F.col("p.offset")).alias("words"),
     )
@@ -177,5 +178,5 @@ def taken(docs: DataFrame, key: list[Column], **options) -> DataFrame:
     words = spans.groupBy(F.col("source").alias("_s"), F.col("_from").alias("_f")).agg(F.sum("words").alias("_taken"))
     # An empty document shares its place with the next one.
     at = F.when(F.col("_size") > 0, F.col("_from"))
-    joined = stream.join(words, F.col("_source").eqNullSafe(F.col("_s")) & (at == F.col("_f")), "left")
+    joined = stream.join(words.hint("merge"), F.col("_source").eqNullSafe(F.col("_s")) & (at == F.col("_f")), "left")
     return joined.withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long")).drop("_s", "_f", "_taken")

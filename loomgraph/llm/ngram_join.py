@@ -1,15 +1,16 @@
 """N-gram Jaccard join (10): texts whose five-word shingle sets overlap by 75 % or more.
 
 Rare-first prefix filtering: if sets are sorted by one global order, similar
-sets share a shingle in short prefixes. The order puts rare shingles first; how
+sets share shingles in short prefixes, two at least if they differ. The order puts rare shingles first; how
 often a shingle occurs is read from a fixed-size table of counts by hash, made
 over all texts, which needs to be only a good guess, as any total order gives
 the same links. Prefix shingles are joined with length, positional and suffix
 filters, and each pair of sets is verified exactly and at most once.
 
 Equal sets are one node throughout. In a first round every set is verified
-against one partner at most: among the smallest sets of its prefix groups, the
-one it shares most groups with. Then all further candidate pairs are verified
+against one partner at most: among the sets in which a shingle of its prefix
+stands earliest, which have the fewest rare shingles of their own, the one that
+leads most of its groups. Then all further candidate pairs are verified
 whose two sets are not yet in one component; a pair inside a component could
 not change the result. So a large group of near copies costs about one pair per
 copy, and no pair that could join two components is left out. Shingles in very
@@ -32,11 +33,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import components
-from loomgraph.llm.shingles import set_id, shingle_sets
+from loomgraph.llm.shingles import mixed, set_id, shingle_sets
 from loomgraph.session import cut
 
 PERCENT = 75
 BITS = 22
+MARK_BITS = 26
+# Linked sets that differ share so many shingles in their prefixes, which are longer by as many.
+COMMON = 2
 _CHUNK = 1 << 16
 SALTS = 16
 
@@ -101,49 +105,86 @@ def shared_levels(scanned: DataFrame) -> np.ndarray:
 
 
 def _prefixes(levels: np.ndarray, percent: int):
-    """Rows (token, part, sid, n, pos) for the prefix of every set; a task gives equal sets once."""
+    """Rows (token, sid, size) for the prefix of every set; a task gives equal sets once.
+
+    ``size`` packs the set's size (from bit 32), the position (from bit 1), and whether the shingle is so common
+    that its group is salted (bit 0).
+    """
     mean = float(np.mean(2 ** (levels / 8) - 1))
     hot = int(_level(np.array([max(1000.0, 4 * mean)]))[0])
-    fields = [("token", pa.int64()), ("part", pa.int32()), ("sid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())]
-    schema = pa.schema(fields)
+    schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
             held: list[list[np.ndarray]] = []
+            rows = 0
             for shingles in shingle_sets(_texts(batch)):
                 n = len(shingles)
                 if not n or (sid := set_id(shingles)) in done:
                     continue
                 done.add(sid)
-                size = n + (-percent * n) // 100 + 1  # n - ceil(percent n / 100) + 1
+                size = min(n, n + (-percent * n) // 100 + COMMON)  # n - ceil(percent n / 100) + COMMON
                 common = levels[(shingles >> np.uint64(64 - BITS)).astype(np.int64)]
                 first = np.lexsort((shingles, common))[:size]
-                part = np.where(common[first] >= hot, 1 + abs(sid) % SALTS, 0).astype(np.int32)
-                ints = np.arange(len(first), dtype=np.int32)
-                held.append([shingles[first].view(np.int64), part, np.full(len(first), sid), np.full(len(first), n, dtype=np.int32), ints])
-                if sum(len(h[0]) for h in held) > 100_000:
+                at = np.arange(size, dtype=np.int64)
+                sizes = (n << 32 | at << 1) + (common[first] >= hot)
+                held.append([shingles[first].view(np.int64), np.full(size, sid), sizes])
+                rows += size
+                if rows > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
-                    held = []
+                    held, rows = [], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
 
     return run
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's set with its sizes by quarter of the hash range, for the suffix filter."""
-    schema = pa.schema([("sid", pa.int64()), ("shingles", pa.list_(pa.int64())), ("quarters", pa.list_(pa.int32()))])
+def _mark(ids: np.ndarray) -> np.ndarray:
+    return (mixed(ids.view(np.uint64)) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's ids as a bitmap of fixed size, compressed."""
+    bits = np.zeros(1 << MARK_BITS, dtype=bool)
+    for batch in batches:
+        bits[_mark(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))] = True
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["bits"])
+
+
+def _joined_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << (MARK_BITS - 3), dtype=np.uint8)
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            total |= np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["bits"])
+
+
+def marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap of 2^``MARK_BITS`` bits over one column of ids: what isn't marked isn't among them."""
+    total = np.zeros(1 << (MARK_BITS - 3), dtype=np.uint8)
+    parts = ids.mapInArrow(_marked, "bits binary").repartition(8).mapInArrow(_joined_marks, "bits binary")
+    for row in parts.toLocalIterator():
+        total |= np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
+    return total
+
+
+def _whole_sets(wanted: np.ndarray):
+    """Sets of the texts whose id may be wanted, with their sizes by quarter of the hash range, for the suffix filter."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("shingles", pa.list_(pa.int64())), ("quarters", pa.list_(pa.int32()))])
     pivots = np.array([1 << 62, 2 << 62, 3 << 62], dtype=np.uint64)
 
-    def rows() -> Iterator[tuple]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        bits = np.unpackbits(wanted).view(bool)
         for batch in batches:
-            for shingles in shingle_sets(_texts(batch)):
+            ids = batch.column(0)
+            batch = batch.filter(pa.array(bits[_mark(ids.fill_null(0).to_numpy(zero_copy_only=False))]))
+            for id_, shingles in zip(batch.column(0).to_pylist(), shingle_sets(_texts(batch)), strict=True):
                 if len(shingles):
                     cuts = [0, *np.searchsorted(shingles, pivots).tolist(), len(shingles)]
-                    yield set_id(shingles), shingles.view(np.int64), [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
+                    yield id_, set_id(shingles), shingles.view(np.int64), [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    yield from _batches(rows(), schema, 200)
+    return lambda batches: _batches(rows(batches), schema, 200)
 
 
 def _overlap_needed(a: Column, b: Column, percent: int) -> Column:
@@ -152,26 +193,31 @@ def _overlap_needed(a: Column, b: Column, percent: int) -> Column:
 
 
 def _may_link(a: Column, b: Column, percent: int) -> Column:
-    """Length and positional filters on two prefix entries (n, pos) of one shingle."""
+    """Length and positional filters on two prefix entries (pos, n) of one shingle.
+
+    What two linked sets share lies from the first ``COMMON`` shared shingles on, but for those before; a pair may
+    fail at later ones.
+    """
     small, large = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
-    rest = F.least(a["pos"], b["pos"]) + F.least(a["n"] - a["pos"], b["n"] - b["pos"])
+    rest = F.least(a["n"] - a["pos"], b["n"] - b["pos"]) + COMMON - 1
     return (100 * small >= percent * large) & (rest >= _overlap_needed(a["n"], b["n"], percent))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets link. Only texts that are in a pair are read into sets."""
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = nodes.join(ids, "sid", "left_semi").select(F.col("doc_id").alias("_rep")).distinct()
-    read = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
-    sets = read.mapInArrow(_whole_sets, "sid bigint, shingles array<bigint>, quarters array<int>")
-    sets = cut(sets.join(ids, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    # A set is read from the text with the smallest id that has it; the bitmap of those ids spares most other texts.
+    wanted = cut(nodes.join(ids, "sid", "left_semi"), "wanted")
+    sets = docs.mapInArrow(_whole_sets(marks(wanted.select("doc_id"))), "doc_id bigint, sid bigint, shingles array<bigint>, quarters array<int>")
+    same = F.col("s.sid").eqNullSafe(F.col("w.sid")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))
+    sets = cut(sets.alias("s").join(wanted.alias("w"), same, "left_semi").drop("doc_id"), "sets")
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"), F.col("quarters").alias("xq"))
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"), F.col("quarters").alias("yq"))
     both = pairs.join(right, "b").join(left, "a")
     needed = _overlap_needed(F.size("x"), F.size("y"), percent)
     suffix = F.expr("aggregate(zip_with(xq, yq, (p, q) -> least(p, q)), 0, (s, m) -> s + m)")
     linked = F.when(suffix >= needed, F.size(F.array_intersect("x", "y")) >= needed)
-    return both.where(linked).select("a", "b")
+    return both.where(linked).select("a", "b").distinct()
 
 
 def linked_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -183,20 +229,21 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
     scanned = cut(docs.mapInArrow(_scan, _SCANNED), "scan")
     rows = scanned.where("chunk IS NULL").select("doc_id", "n", "sid")
     nodes = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    entries = docs.select("text").mapInArrow(
-        _prefixes(shared_levels(scanned), percent), "token bigint, part int, sid bigint, n int, pos int"
-    )
+    entries = docs.select("text").mapInArrow(_prefixes(shared_levels(scanned), percent), "token bigint, sid bigint, size bigint")
+    salt = F.when(F.col("size") % 2 == 1, 1 + F.pmod("sid", F.lit(SALTS))).otherwise(0).cast("int")
     group = Window.partitionBy("token", "part")
-    entry = F.struct("sid", "n", "pos")
-    grouped = entries.select("token", "part", entry.alias("e"), F.min(entry).over(group).alias("hub"), F.max("sid").over(group).alias("last"))
+    entry = F.struct(F.expr("cast(size % 4294967296 div 2 as int)").alias("pos"), "sid", F.expr("cast(size div 4294967296 as int)").alias("n"))
+    # Packed until they are shuffled.
+    dealt = entries.repartition("token", salt.alias("part")).select("token", salt.alias("part"), entry.alias("e"))
+    firsts = (F.min("e").over(group).alias("hub"), F.min("e.sid").over(group).alias("low"), F.max("e.sid").over(group).alias("high"))
     # A group of one set has no pair; salted groups stay for the other parts of their shingle.
-    shared = cut(grouped.where("hub.sid <> last OR part > 0"), "shared")
+    shared = cut(dealt.select("token", "part", "e", *firsts).where("low <> high OR part > 0").drop("low", "high"), "shared")
     members = shared.select("token", "e").distinct()
 
     best = Window.partitionBy("b").orderBy(F.desc("groups"), "a")
     starred = shared.where(F.col("hub.sid") != F.col("e.sid")).where(_may_link(F.col("e"), F.col("hub"), percent))
     stars = starred.groupBy(F.col("hub.sid").alias("a"), F.col("e.sid").alias("b")).agg(F.count("*").alias("groups"))
-    stars = stars.withColumn("place", F.row_number().over(best)).where("place = 1").select("a", "b")
+    stars = stars.withColumn("place", F.row_number().over(best)).where((F.col("place") == 1) & (F.col("groups") >= COMMON)).select("a", "b")
     # The parts of a salted shingle meet in their hubs.
     hubs = shared.where("part > 0").groupBy("token", "part").agg(F.first("hub").alias("hub"))
     lowest = hubs.groupBy("token").agg(F.min("hub").alias("low"))
@@ -209,15 +256,20 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
         "token", "e", F.coalesce("root", F.col("e.sid")).alias("root")
     )
     rooted = cut(rooted, "rooted")
-    open_groups = rooted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    left = cut(rooted.join(open_groups, "token", "left_semi"), "open")
+    # An entry too late in its set for the smallest set of its group can pair with none.
+    least = rooted.groupBy("token").agg(F.min("e.n").alias("least"))
+    able = rooted.join(least, "token").where(percent * (F.col("e.n") + F.col("least")) <= (100 + percent) * (F.col("e.n") - F.col("e.pos") + COMMON - 1))
+    able = cut(able.drop("least"), "able")
+    open_groups = able.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
+    left = cut(able.join(open_groups, "token", "left_semi"), "open")
     crossing = left.alias("p").join(left.alias("q"), (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")))
     crossing = crossing.where(_may_link(F.col("p.e"), F.col("q.e"), percent)).select(
         F.least("p.e.sid", "q.e.sid").alias("a"), F.greatest("p.e.sid", "q.e.sid").alias("b")
     )
-    again = cut(crossing.distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "crossing")
-    more = cut(_verified(again, docs, nodes, percent), "links")
-    if more.isEmpty():
+    crossing = crossing.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("a", "b")
+    again = cut(crossing.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "crossing")
+    more = None if again.isEmpty() else cut(_verified(again, docs, nodes, percent), "links")
+    if more is None or more.isEmpty():
         return rows, roots.withColumnRenamed("node", "sid")
     return rows, components(links.union(more)).withColumnRenamed("node", "sid")
 
