@@ -200,7 +200,7 @@ def grade(submissions: DataFrame, selections: DataFrame, option_rows: DataFrame)
 
     ``selections(submission_id, option_id)`` holds what was ticked. A submission
     is invalid when nothing or something not offered was ticked, and correct when
-    the ticked set equals the answers.
+    the ticked set equals the answers. One for a check that is not offered is told so.
     """
     ticked = selections.select("submission_id", "option_id").distinct().join(submissions, "submission_id")
     judged = ticked.join(
@@ -210,12 +210,12 @@ def grade(submissions: DataFrame, selections: DataFrame, option_rows: DataFrame)
         F.count("*").alias("ticked"), F.count("is_answer").alias("offered"),
         F.count_if("is_answer").alias("right"))
     sizes = option_rows.groupBy("project", "check_id").agg(F.count_if("is_answer").alias("n_answers"))
-    scored = submissions.join(sizes, ["project", "check_id"]).join(judged, "submission_id", "left")
+    scored = submissions.join(sizes, ["project", "check_id"], "left").join(judged, "submission_id", "left")
     invalid = F.col("ticked").isNull() | (F.col("offered") < F.col("ticked"))
     correct = (F.col("right") == F.col("n_answers")) & (F.col("ticked") == F.col("n_answers"))
     return scored.select(
         "submission_id", "project", "check_id",
-        F.when(invalid, "invalid").when(correct, "correct").otherwise("incorrect").alias("outcome"))
+        F.when(F.col("n_answers").isNull(), "unknown check").when(invalid, "invalid").when(correct, "correct").otherwise("incorrect").alias("outcome"))
 
 
 def reveal(graded: DataFrame, selections: DataFrame) -> DataFrame:

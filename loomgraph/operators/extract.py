@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.sources.corpus import python_text
-from loomgraph.session import cut, spread
+from loomgraph.session import cut, ship, spread
 
 # Syntax to concept.
 CONCEPT_OF = {
@@ -34,12 +34,13 @@ FACTS = (
 )
 _ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 _ARROW = pa.schema([(name, _ARROW_TYPES[kind]) for name, kind in (c.split() for c in FACTS.split(", "))])
+PIECE = 4096
 _DEFINITION = (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)
 
 
 def module_name(path: str, package: str | None) -> str:
     """Dotted module of a path; a package root lends its own name as prefix."""
-    parts = path.removesuffix(".py").split("/")
+    parts = path[:-3].split("/")
     if parts[-1] == "__init__":
         parts.pop()
     if package:
@@ -225,13 +226,19 @@ def _is_main_guard(test: ast.AST) -> bool:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Facts in pieces of some thousand rows, whatever the number of files in a batch."""
+    rows = []
     for batch in batches:
-        rows = []
-        for file in batch.to_pylist():
+        for at in range(batch.num_rows):
+            file = batch.slice(at, 1).to_pylist()[0]
             project, path = file["project"], file["path"]
             module = module_name(path, file["package"]) or project
-            rows += [{"project": project, "file": path, "module": module, **fact}
-                     for fact in _facts(path, file["content"], module)]
+            for fact in _facts(path, file["content"], module):
+                rows.append({"project": project, "file": path, "module": module, **fact})
+                if len(rows) == PIECE:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    rows = []
+    if rows:
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
@@ -243,8 +250,9 @@ def facts(corpus: DataFrame) -> DataFrame:
     every file's content is a broadcast as long as their true size allows it.
     ``corpus`` is a stored table or a directory scan.
     """
+    ship(corpus.sparkSession)
     packages = cut(corpus.where(F.col("path") == "__init__.py").select("project", F.col("project").alias("package")), "packages")
-    files = spread(corpus.where(F.col("path").endswith(".py")).select("project", "path", "content"))
+    files = spread(corpus.where(F.lower("path").endswith(".py")).select("project", "path", "content"))
     read = files.join(packages, "project", "left").select("project", "path", "package", "content").mapInArrow(_read, FACTS)
     return cut(read, "facts")
 

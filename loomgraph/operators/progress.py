@@ -17,31 +17,26 @@ MODES = ["easy", "expert"]
 DEFAULT_MODE = "easy"
 RECENT_PROJECTS = 8
 MISSING = "missing"
-# Regions with more files than this hash their files in buckets first.
-FLAT_FILES = 1024
 
 
 def signatures(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """Hash of every region's sorted (file, content hash) pairs.
 
-    A region with very many files is hashed in two levels, so no task holds
-    more than one bucket of it; either form changes when any file changes.
+    Files are hashed in buckets by their name's hash, and then the buckets, so
+    no task holds more than one bucket of a region, whatever its size.
     """
     listed = nodes.select("project", "region", "file").distinct().join(
         files.select("project", "file", "sha256"), ["project", "file"], "left"
     ).select("project", "region", "file", F.coalesce("sha256", F.lit(MISSING)).alias("sha256"))
-    counts = listed.groupBy("project", "region").agg(F.count("*").alias("n_files"))
-    sized = listed.join(counts, ["project", "region"])
 
     def digest(keys: list[str], rows: DataFrame, first: str, second: str) -> DataFrame:
         pairs = F.array_sort(F.collect_list(F.struct(first, second)))
         text = F.to_json(F.transform(pairs, lambda p: F.array(p[first], p[second])))
         return rows.groupBy("project", "region", *keys).agg(F.sha2(text, 256).alias("signature"))
 
-    small = digest([], sized.where(F.col("n_files") <= FLAT_FILES), "file", "sha256")
-    large = sized.where(F.col("n_files") > FLAT_FILES).withColumn("bucket", F.substring(F.sha2("file", 256), 1, 4))
-    buckets = digest(["bucket"], large, "file", "sha256").withColumnRenamed("signature", "part")
-    return small.unionByName(digest([], buckets, "bucket", "part"))
+    bucketed = listed.withColumn("bucket", F.substring(F.sha2("file", 256), 1, 4))
+    buckets = digest(["bucket"], bucketed, "file", "sha256").withColumnRenamed("signature", "part")
+    return digest([], buckets, "bucket", "part")
 
 
 def _moment() -> F.Column:

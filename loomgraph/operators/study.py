@@ -195,21 +195,23 @@ def _odd_list(field: str) -> Column:
     return F.when(value.isNotNull() & (kind != "VOID") & ~F.startswith(kind, F.lit("ARRAY")), 1).otherwise(0)
 
 
-def ground(responses: DataFrame, excerpt_rows: DataFrame, neighbor_rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ground(responses: DataFrame, excerpt_rows: DataFrame, neighbor_rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Judge ``(response_id, project, node, raw)``: verdicts, walkthrough, relationships.
 
     A response that cites a line outside its excerpt or a neighbour the graph
     does not have is rejected with a reason. A malformed, empty or too long item
-    only counts as withheld.
+    only counts as withheld. Where a node has no excerpt, its own lines bound what may be cited.
     """
-    parsed = parse_responses(responses).join(
-        excerpt_rows.select("project", F.col("id").alias("node"), "file", "first", "last"), ["project", "node"])
+    spans = nodes.select("project", F.col("id").alias("node"), F.col("file").alias("f"), F.col("lineno").alias("a"), F.col("end_lineno").alias("b"))
+    shown = excerpt_rows.select("project", F.col("id").alias("node"), "file", "first", "last")
+    parsed = parse_responses(responses).join(shown, ["project", "node"], "left").join(spans, ["project", "node"], "left").withColumns({
+        "file": F.coalesce("file", "f"), "first": F.coalesce("first", "a"), "last": F.coalesce("last", "b")}).drop("f", "a", "b")
     steps = _items(parsed, "walkthrough").join(parsed.select("response_id", "file", "first", "last"), "response_id")
     line = F.try_variant_get("item", "$.line", "variant")
     number = F.when(F.schema_of_variant(line) == "BIGINT", F.try_variant_get("item", "$.line", "bigint"))
     steps = steps.select("response_id", "project", "node", "n", "file", number.alias("line"),
                          _clean(F.try_variant_get("item", "$.explanation", "variant")).alias("text"),
-                         (number.isNotNull() & ~number.between(F.col("first"), F.col("last"))).alias("outside"))
+                         (number.isNotNull() & ~F.coalesce(number.between(F.col("first"), F.col("last")), F.lit(False))).alias("outside"))
     named = F.try_variant_get("item", "$.node_id", "variant")
     target = F.when(F.schema_of_variant(named) == "STRING", F.try_variant_get("item", "$.node_id", "string"))
     links = _items(parsed, "relationships").select(

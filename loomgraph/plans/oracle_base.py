@@ -132,8 +132,12 @@ concepts AS MATERIALIZED (
 
 SIGNATURES = """
 signatures AS MATERIALIZED (
-  SELECT DISTINCT n.project, n.region, sha256('[["' || n.file || '","' || sha256(n.project || '/' || n.file) || '"]]') AS signature
-  FROM nodes n)"""
+  SELECT project, region, sha256('[' || string_agg('["' || bucket || '","' || part || '"]', ',' ORDER BY bucket) || ']') AS signature
+  FROM (
+    SELECT project, region, substr(sha256(file), 1, 4) AS bucket,
+      sha256('[' || string_agg('["' || file || '","' || sha256(project || '/' || file) || '"]', ',' ORDER BY file) || ']') AS part
+    FROM (SELECT DISTINCT project, region, file FROM nodes) GROUP BY ALL)
+  GROUP BY project, region)"""
 
 PROGRESS = """
 log AS MATERIALIZED (

@@ -16,13 +16,12 @@ from loomgraph.plans.oracle_base import (
 
 def g1_compose(spark: SparkSession, folder: str) -> DataFrame:
     nodes = Warehouse(spark, folder).nodes
-    by_language = [nodes.where(F.col("language") == name) for name in ("python", "typescript", "go")]
-    return ops.compose_nodes(by_language)
+    return ops.compose_nodes([nodes.where(F.pmod(F.hash("project", "id"), F.lit(3)) == part) for part in range(3)])
 
 
 def g1_compose_files(spark: SparkSession, folder: str) -> DataFrame:
     files = Warehouse(spark, folder).files
-    return ops.compose_files([files.where(F.col("language") == n) for n in ("python", "typescript", "go")])
+    return ops.compose_files([files.where(F.pmod(F.hash("project", "file"), F.lit(3)) == part) for part in range(3)])
 
 
 def g2_dedup_edges(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,10 +23,12 @@ def t1_neighbors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _spans(w: Warehouse) -> DataFrame:
-    """Three spans per document: its head, nearly all of it, and a late part."""
-    cut_points = [("#head", 1, 12), ("#body", 3, 100_000), ("#tail", 300, 320)]
-    return w.documents.select("project", F.col("path").alias("file"), F.explode(F.array(*[
-        F.struct(F.lit(t).alias("tail"), F.lit(a).alias("lineno"), F.lit(b).alias("end_lineno")) for t, a, b in cut_points])).alias("s")
+    """Three spans per document: its head, all of it, and a late part."""
+    lengths = w.lines.groupBy("project", F.col("path").alias("file")).agg(F.max("lineno").alias("n"))
+    spans = [("#head", 1, F.lit(12)), ("#body", 1, F.coalesce("n", F.lit(1))), ("#tail", 300, F.lit(320))]
+    files = w.documents.select("project", F.col("path").alias("file")).join(lengths, ["project", "file"], "left")
+    return files.select("project", "file", F.explode(F.array(*[
+        F.struct(F.lit(t).alias("tail"), F.lit(a).alias("lineno"), b.cast("int").alias("end_lineno")) for t, a, b in spans])).alias("s")
     ).select("project", F.concat("file", "s.tail").alias("id"), "file", "s.lineno", "s.end_lineno")
 
 
@@ -99,7 +101,7 @@ def responses(w: Warehouse) -> tuple[DataFrame, DataFrame]:
 def _ground(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     w = Warehouse(spark, folder)
     made, excerpt = responses(w)
-    return ops.ground(w.stored("responses", lambda: made), excerpt, w.neighbors)
+    return ops.ground(w.stored("responses", lambda: made), excerpt, w.neighbors, w.nodes)
 
 
 def t7_ground_responses(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,10 +170,10 @@ lens AS MATERIALIZED (SELECT c.project, c.node_id, c.language, c.concept, title,
   JOIN nodes n ON n.project = c.project AND n.id = c.node_id AND n.language = c.language)"""
 
 _SPANS = """
-spans AS MATERIALIZED (SELECT d.project, d.path || t AS id, d.path AS file, a AS first, CAST(least(b, s.size) AS INTEGER) AS last
-  FROM docs d CROSS JOIN (VALUES ('#head', 1, 12), ('#body', 3, 100000), ('#tail', 300, 320)) v(t, a, b)
+spans AS MATERIALIZED (SELECT d.project, d.path || t AS id, d.path AS file, a AS first, CAST(least(coalesce(b, s.size), s.size) AS INTEGER) AS last
+  FROM docs d CROSS JOIN (VALUES ('#head', 1, 12), ('#body', 1, NULL), ('#tail', 300, 320)) v(t, a, b)
   JOIN (SELECT project, path, max(lineno) AS size FROM lines GROUP BY ALL) s ON s.project = d.project AND s.path = d.path
-  WHERE a <= least(b, s.size)),
+  WHERE a <= s.size),
 span_rows AS MATERIALIZED (SELECT s.project, s.id, s.file, s.first, s.last, l.lineno AS number, l.text FROM spans s
   JOIN lines l ON l.project = s.project AND l.path = s.file AND l.lineno BETWEEN s.first AND s.last)"""
 

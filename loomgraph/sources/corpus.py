@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 from loomgraph.functions.paths import extension, segments, top_directory
 from loomgraph.plans.iterate import expand
 from loomgraph.plans.ranking import top_rows
-from loomgraph.session import cut
+from loomgraph.session import cut, ship
 
 # Directories never read, besides hidden ones.
 SKIPPED_DIRECTORIES = ["venv", ".venv", "node_modules", "__pycache__"]
@@ -82,6 +82,7 @@ def scan_directory(spark: SparkSession, root: str, project: str) -> DataFrame:
     ones are not entered; then tasks read the files. The result is written, so
     every later use reads a table and not the tree.
     """
+    ship(spark)
     uri = root.rstrip("/") if "://" in root else f"file://{root.rstrip('/')}"
     entries = "root string, path string, is_directory boolean"
     name = F.element_at(F.split("path", "/"), -1)
@@ -109,20 +110,33 @@ def with_extension(files: DataFrame) -> DataFrame:
 
 # ---- ignore rules --------------------------------------------------------
 
+def _nested_plain(expression: str) -> str:
+    """Escape ``[`` inside a character class, which Java would read as a class of its own."""
+    out, inside = [], False
+    for place, c in enumerate(expression):
+        escaped = place > 0 and expression[place - 1] == "\\" and not expression[:place].endswith("\\\\")
+        if inside and c == "[" and not escaped:
+            out.append("\\")
+        elif not escaped:
+            inside = c == "[" or (inside and c != "]")
+        out.append(c)
+    return "".join(out)
+
+
 @F.pandas_udf(StringType())
 def _glob_regex(pattern: pd.Series) -> pd.Series:
-    """Shell pattern to a regular expression Java reads the same way."""
-    return pattern.map(lambda p: fnmatch.translate(p).replace(r"\Z", r"\z"))
+    """Shell pattern to a regular expression that Java reads the same way, from the first to the last character."""
+    return pattern.map(lambda p: r"\A" + _nested_plain(fnmatch.translate(p)).replace(r"\Z", r"\z"))
 
 
 def ignore_rules(corpus: DataFrame) -> DataFrame:
     """The rules of every project's root ``.gitignore``, in file order."""
     text = corpus.where(F.col("path") == ".gitignore").select("project", F.col("content").cast("string").alias("text"))
     lines = text.select("project", F.posexplode(F.split("text", LINE_END)).alias("rule_no", "line")).select(
-        "project", "rule_no", F.trim("line").alias("line")
+        "project", "rule_no", F.regexp_replace("line", r"(?U)^\s+|\s+\z", "").alias("line")
     ).where((F.col("line") != "") & ~F.col("line").startswith("#"))
     negated = F.col("line").startswith("!")
-    raw = F.when(negated, F.substring("line", 2, 1 << 20)).otherwise(F.col("line"))
+    raw = F.when(negated, F.expr("substring(line, 2)")).otherwise(F.col("line"))
     pattern = F.regexp_replace(F.regexp_replace(raw, "/+$", ""), "^/+", "")
     return lines.select(
         "project", "rule_no", negated.alias("negated"), raw.endswith("/").alias("directory_only"),
@@ -155,6 +169,7 @@ def keep_readable(corpus: DataFrame) -> DataFrame:
     ignored directory is ever read; a later ``!`` rule cannot bring it back.
     Directories are judged once each, not once per file.
     """
+    ship(corpus.sparkSession)
     rules = ignore_rules(corpus)
     parts = segments(F.col("path"))
     parents = F.transform(

@@ -36,17 +36,34 @@ def test_folds(spark, graph):
     assert rows(ops.recents(events), "project", "place", "understood_count") == [("p", 1, 2)]
 
 
-def test_an_edit_retires_only_its_region(graph, spark, monkeypatch):
+def test_an_edit_retires_only_its_region(graph, spark):
     nodes, _ = graph([("a", "module", "a"), ("b", "module", "b"), ("b.f", "function", "b", "b2.py")])
     before = spark.createDataFrame([("p", f, "python", f) for f in ("a.py", "b.py", "b2.py")], "project string, file string, language string, sha256 string")
     after = before.replace({"b2.py": "changed"}, subset=["sha256"])
-    for limit in (1024, 1):
-        monkeypatch.setattr(ops, "FLAT_FILES", limit)
-        one, two = (dict(rows(ops.signatures(nodes, f), "region", "signature")) for f in (before, after))
-        assert one["a"] == two["a"] and one["b"] != two["b"]
+    one, two = (dict(rows(ops.signatures(nodes, f), "region", "signature")) for f in (before, after))
+    assert one["a"] == two["a"] and one["b"] != two["b"]
+    assert one["a"] == bucketed({"a.py": "a.py"})
+
+
+def bucketed(files):
     import hashlib
+    import json
+
+    def digest(pairs):
+        return hashlib.sha256(json.dumps(sorted(pairs), separators=(",", ":")).encode()).hexdigest()
+
+    parts = {}
+    for file, content in files.items():
+        parts.setdefault(hashlib.sha256(file.encode()).hexdigest()[:4], []).append([file, content])
+    return digest([bucket, digest(pairs)] for bucket, pairs in parts.items())
+
 
-    assert one["a"] == hashlib.sha256(b'[["a.py","a.py"]]').hexdigest()
+def test_the_signature_has_one_form_at_every_size(graph, spark):
+    for size in (1, 1024, 1025):
+        names = {f"f{i}.py": f"h{i}" for i in range(size)}
+        nodes, _ = graph([(f"a.n{i}", "function", "a", name) for i, name in enumerate(names)])
+        files = spark.createDataFrame([("p", f, "python", h) for f, h in names.items()], "project string, file string, language string, sha256 string")
+        assert rows(ops.signatures(nodes, files), "signature") == [(bucketed(names),)]
 
 
 def test_stream_survives_disorder_and_repeats(spark, tmp_path):

@@ -54,3 +54,12 @@ def test_json_is_the_same_for_any_partitioning(graph, tmp_path):
         files = sorted((tmp_path / str(n)).glob("part-*"))
         texts.append("".join(f.read_text() for f in files))
     assert texts[0] == texts[1] and '"entrypoint_rank":null' in texts[0]
+
+
+def test_ignore_rules_match_whole_segments(spark, tmp_path):
+    root = tree(tmp_path, {
+        ".gitignore": "gen/\nbuild\n/docs/*\n\t*.log\t\n[[x].js\n[!a]z.py\n",
+        "oxygen/a.py": "", "rebuild/c.py": "", "old/docs/d.py": "", "gen/e.py": "", "build/f.py": "", "docs/g.py": "",
+        "x.log": "", "x.log.py": "", "[.js": "", "x.js": "", "y.js": "", "az.py": "", "bz.py": ""})
+    kept = ops.keep_readable(ops.scan_directory(spark, root, "p"))
+    assert [r[0] for r in rows(kept, "path")] == sorted([".gitignore", "oxygen/a.py", "rebuild/c.py", "old/docs/d.py", "x.log.py", "y.js", "az.py"])
