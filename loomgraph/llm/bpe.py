@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.text import whole
-from loomgraph.session import cut
+from loomgraph.session import cut, ship
 
 FREQUENT = 1 << 19
 SHORT, LONG = 64, 2048
@@ -224,6 +224,7 @@ def _filled(ids: pa.Array, data: pa.Array, long: pa.Array, ranks: dict, pieces:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFrame:
     """``key, ids, bytes`` of every text: packed ids, and the bytes they decode to."""
+    ship(docs.sparkSession)
     pieces = F.regexp_extract_all(whole(F.col("text")), F.lit(vocabulary.pattern), F.lit(0))
     known = _with_codes(frequent_pieces(docs.select(F.explode(pieces).alias("piece"))), vocabulary)
     known = cut(known.select(F.col("piece").alias("_piece"), F.col("ids").alias("_ids"), F.col("bytes").alias("_bytes")), "codes")

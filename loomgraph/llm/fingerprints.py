@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.shingles import shingle_sets
+from loomgraph.session import ship
 
 K = 256
 _SLICE_CHARS = 2_000_000
@@ -77,6 +78,7 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
             columns = [batch.column(0), pa.array(map(encode, sketches)), pa.array([distinct_shingles(s, k) for s in sketches])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fingerprint", "n_shingles"])
 
+    ship(docs.sparkSession)
     schema = "doc_id bigint, fingerprint string, n_shingles double"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
@@ -150,5 +152,6 @@ def neighbour_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
                     held, size = held[-1:], 0
         yield from compared(held)
 
+    ship(docs.sparkSession)
     columns = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return _in_order(docs).mapInArrow(run, columns)

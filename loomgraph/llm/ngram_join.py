@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.components import components
 from loomgraph.llm.shingles import mixed, set_id, shingle_sets
-from loomgraph.session import cut
+from loomgraph.session import cut, ship
 
 PERCENT = 75
 BITS = 22
@@ -225,6 +225,7 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
 
     ``sid`` stands for the set of shingles (null if empty), ``root`` for the component.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = cut(docs.mapInArrow(_scan, _SCANNED), "scan")
     rows = scanned.where("chunk IS NULL").select("doc_id", "n", "sid")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import cut
+from loomgraph.session import cut, ship
 
 ORDERS = (2, 3, 4, 5)
 BITS = 18
@@ -143,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     The sample is chosen from the labels alone, so that texts are shuffled once, for the counts.
     """
+    ship(docs.sparkSession)
     marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     rows = docs.select("doc_id", "text").join(marks, "doc_id").select("text", "toxic")
     counted = cut(rows.mapInArrow(_counts, "toxic int, chunk int, n bigint, counts binary"), "counts")
@@ -183,4 +184,5 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double")
