@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,16 +15,34 @@ from loomgraph.session import cut
 EDGE = ["project", "src", "dst", "kind", "certain", "lineno", "external"]
 
 
-def tiered(keys: list[str], tiers: Sequence[DataFrame]) -> DataFrame:
+@dataclass(frozen=True)
+class Late:
+    """A tier that fans out: ``find`` gives candidates for those of ``rows`` that no stronger tier settles."""
+
+    rows: DataFrame
+    find: Callable[[DataFrame], DataFrame]
+
+
+def tiered(keys: list[str], tiers: Sequence[DataFrame | Late]) -> DataFrame:
     """Candidates of the lowest tier that has any, per key; ties are all kept.
 
     Each tier holds ``keys`` plus ``dst, certain, external``. The lowest tier is
     found by a grouped minimum, which combines before the shuffle. Candidates
-    are written first, since both that minimum and the result read them.
+    are written first, since both that minimum and the result read them. Late
+    tiers come after the others, for the keys that none of a lower number holds.
     """
-    pool = cut(reduce(DataFrame.unionByName, [
-        t.select(*keys, "dst", "certain", "external", F.lit(n).alias("tier")) for n, t in enumerate(tiers)]), "candidates")
+    def pooled(some: list[tuple[int, DataFrame]], label: str) -> DataFrame:
+        return cut(reduce(DataFrame.unionByName, [
+            t.select(*keys, "dst", "certain", "external", F.lit(n).alias("tier")) for n, t in some]), label)
+
+    pool = pooled([(n, t) for n, t in enumerate(tiers) if not isinstance(t, Late)], "candidates")
     best = pool.groupBy(*keys).agg(F.min("tier").alias("tier"))
+    late = [(n, t) for n, t in enumerate(tiers) if isinstance(t, Late)]
+    if late:
+        settled = cut(best, "settled")
+        pool = pool.unionByName(pooled([
+            (n, t.find(t.rows.join(settled.where(F.col("tier") < n).select(*keys), keys, "left_anti"))) for n, t in late], "late"))
+        best = pool.groupBy(*keys).agg(F.min("tier").alias("tier"))
     return pool.join(best, [*keys, "tier"], "left_semi").select(*keys, "dst", "certain", "external").distinct()
 
 
