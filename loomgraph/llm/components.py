@@ -15,17 +15,18 @@ def components(links: DataFrame) -> DataFrame:
     neighbours, and then its smaller ones, are linked to the smallest of all
     instead. Rounds grow with the logarithm of the longest path. Smallest
     neighbours are partial aggregates, so an id with very many links is spread.
-    Each round is written, and the loop ends when a round changes nothing.
+    Each round is written, and the loop ends when a round changes nothing. All
+    sides grow with the input and are merged, not broadcast.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut(large, "large")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u")
+        small = large.join(lowest.hint("merge"), "u")
         edges = cut(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .union(lowest.select("u", F.col("m").alias("v"))).distinct(),

@@ -14,7 +14,8 @@ leads most of its groups. Then all further candidate pairs are verified
 whose two sets are not yet in one component; a pair inside a component could
 not change the result. So a large group of near copies costs about one pair per
 copy, and no pair that could join two components is left out. Shingles in very
-many sets are salted for the first round.
+many sets are salted for the first round. What grows with the input is merged,
+not broadcast, however small it is.
 
 Defined cases: null, empty or blank texts have no shingles and link with
 nothing; equal texts are linked; a null document id takes part and is ignored
@@ -207,13 +208,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int)
     """The pairs (a, b) of set ids whose sets link. Only texts that are in a pair are read into sets."""
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     # A set is read from the text with the smallest id that has it; the bitmap of those ids spares most other texts.
-    wanted = cut(nodes.join(ids, "sid", "left_semi"), "wanted")
+    wanted = cut(nodes.join(ids.hint("merge"), "sid", "left_semi"), "wanted")
     sets = docs.mapInArrow(_whole_sets(marks(wanted.select("doc_id"))), "doc_id bigint, sid bigint, shingles array<bigint>, quarters array<int>")
     same = F.col("s.sid").eqNullSafe(F.col("w.sid")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))
-    sets = cut(sets.alias("s").join(wanted.alias("w"), same, "left_semi").drop("doc_id"), "sets")
+    sets = cut(sets.alias("s").join(wanted.alias("w").hint("merge"), same, "left_semi").drop("doc_id"), "sets")
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"), F.col("quarters").alias("xq"))
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"), F.col("quarters").alias("yq"))
-    both = pairs.join(right, "b").join(left, "a")
+    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     needed = _overlap_needed(F.size("x"), F.size("y"), percent)
     suffix = F.expr("aggregate(zip_with(xq, yq, (p, q) -> least(p, q)), 0, (s, m) -> s + m)")
     linked = F.when(suffix >= needed, F.size(F.array_intersect("x", "y")) >= needed)
@@ -253,17 +254,17 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
     links = cut(_verified(tried, docs, nodes, percent), "links")
     roots = components(links)
 
-    rooted = members.join(roots.withColumnRenamed("node", "sid"), F.col("e.sid") == F.col("sid"), "left").select(
+    rooted = members.join(roots.withColumnRenamed("node", "sid").hint("merge"), F.col("e.sid") == F.col("sid"), "left").select(
         "token", "e", F.coalesce("root", F.col("e.sid")).alias("root")
     )
     rooted = cut(rooted, "rooted")
     # An entry too late in its set for the smallest set of its group can pair with none.
     least = rooted.groupBy("token").agg(F.min("e.n").alias("least"))
-    able = rooted.join(least, "token").where(percent * (F.col("e.n") + F.col("least")) <= (100 + percent) * (F.col("e.n") - F.col("e.pos") + COMMON - 1))
+    able = rooted.join(least.hint("merge"), "token").where(percent * (F.col("e.n") + F.col("least")) <= (100 + percent) * (F.col("e.n") - F.col("e.pos") + COMMON - 1))
     able = cut(able.drop("least"), "able")
     open_groups = able.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    left = cut(able.join(open_groups, "token", "left_semi"), "open")
-    crossing = left.alias("p").join(left.alias("q"), (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")))
+    left = cut(able.join(open_groups.hint("merge"), "token", "left_semi"), "open")
+    crossing = left.alias("p").join(left.alias("q").hint("merge"), (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")))
     crossing = crossing.where(_may_link(F.col("p.e"), F.col("q.e"), percent)).select(
         F.least("p.e.sid", "q.e.sid").alias("a"), F.greatest("p.e.sid", "q.e.sid").alias("b")
     )

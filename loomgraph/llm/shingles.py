@@ -42,8 +42,8 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of ``data``: a polynomial of its bytes, from running sums."""
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every word of ``data``: a polynomial of its bytes, from running sums."""
     inside = np.empty(len(data) + 2, dtype=np.int8)
     inside[0] = inside[-1] = 0
     inside[1:-1] = ~_BLANK[data]
@@ -51,24 +51,25 @@ def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
-    return mixed((sums[end] - sums[start]) * _powers(_INVERSE, len(data) + 1)[start]), start
+    return mixed((sums[end] - sums[start]) * _powers(_INVERSE, len(data) + 1)[start]), start, end
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of all words, in pieces that end between words."""
-    found, starts, at = [], [], 0
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of all words, in pieces that end between words."""
+    found, starts, ends, at = [], [], [], 0
     view = np.frombuffer(data, dtype=np.uint8)
     while at < len(data):
         stop = min(at + _SLICE, len(data))
         while stop < len(data) and not _BLANK[view[stop]]:
             gap = np.flatnonzero(_BLANK[view[stop : stop + 65536]])
             stop = stop + int(gap[0]) if len(gap) else min(stop + 65536, len(data))
-        hashes, begin = _word_hashes(view[at:stop])
+        hashes, begin, end = _word_hashes(view[at:stop])
         found.append(hashes)
         starts.append(begin + at)
+        ends.append(end + at)
         at = stop
-    empty = np.zeros(0, dtype=np.uint64)
-    return np.concatenate(found or [empty]), np.concatenate(starts or [empty.astype(np.int64)])
+    empty = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(found or [empty[0].view(np.uint64)]), np.concatenate(starts or empty), np.concatenate(ends or empty)
 
 
 def _fold(parts: list[np.ndarray]) -> np.ndarray:
@@ -92,7 +93,7 @@ def shingle_sets(texts: Iterable[bytes | None], width: int = WIDTH) -> Iterator[
 
 
 def _sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
-    hashes, starts = word_hashes(b" ".join(texts))
+    hashes, starts, _ = word_hashes(b" ".join(texts))
     ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, dtype=np.int64)
     bounds = np.concatenate([[0], np.searchsorted(starts, ends)])
     runs = len(hashes) - width + 1

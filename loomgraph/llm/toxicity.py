@@ -141,11 +141,12 @@ def _fit(ratios: np.ndarray, shift: float):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, toxic) with toxic 0 or 1.
 
-    The sample is chosen from the labels alone, so that texts are shuffled once, for the counts.
+    The sample is chosen from the labels alone, so that texts are shuffled once, for the counts. Labels grow with the
+    texts, so they are merged and not broadcast, however few.
     """
     ship(docs.sparkSession)
     marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id").select("text", "toxic")
     counted = cut(rows.mapInArrow(_counts, "toxic int, chunk int, n bigint, counts binary"), "counts")
     # Summed in eight tasks, then their sums: two labels of 2^BITS numbers each.
     parts = counted.select("toxic", "n", "counts").repartition(8).mapInArrow(_summed, "toxic int, n bigint, counts binary")
