@@ -116,11 +116,6 @@ def home_select(nodes: DataFrame, choices: DataFrame | None = None) -> DataFrame
     )
 
 
-def candidate_order(nodes: DataFrame) -> DataFrame:
-    """Candidates with the key that orders them: real code, rank, id."""
-    return candidates(nodes).orderBy("project", "is_test", "entrypoint_rank", "id")
-
-
 def region_rollup(nodes: DataFrame, central: DataFrame, homes: DataFrame) -> DataFrame:
     module = F.col("kind") == "module"
     totals = (

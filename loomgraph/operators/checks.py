@@ -228,6 +228,13 @@ def reveal(graded: DataFrame, selections: DataFrame) -> DataFrame:
     ).select("submission_id", "project", "check_id", F.col("option_id").alias("answer"))
 
 
+def evidence(graded: DataFrame, claims: DataFrame) -> DataFrame:
+    """Citations shown with the answers: only after a correct submission."""
+    cited = claims.select("project", "check_id", "citation").distinct()
+    return graded.where(F.col("outcome") == "correct").join(cited, ["project", "check_id"]).select(
+        "submission_id", "project", "check_id", "citation")
+
+
 def completion(passes: DataFrame, suite_rows: DataFrame) -> DataFrame:
     """``passes(learner_id, project, check_id)`` to regions passed in full."""
     need = suite_rows.groupBy("project", "region").agg(F.count("*").alias("needed"))

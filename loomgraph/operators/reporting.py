@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import directories, is_learner_test_scoped, path_tail, segments, top_directory
@@ -32,20 +32,20 @@ def focus_edges(nodes: DataFrame, edges: DataFrame, language: str) -> DataFrame:
         "project", F.col("id").alias("dst"), F.lit(True).alias("other"))
     return (
         edges.join(kept, ["project", "src"], "left_semi").join(others, ["project", "dst"], "left")
-        .where(F.col("external") | F.col("other").isNull()).drop("other")
+        .where(F.col("external") | F.col("other").isNull()).select(*edges.columns)
     )
 
 
 def focus_regions(rows: DataFrame, nodes: DataFrame, language: str) -> DataFrame:
     """Region-keyed rows (regions, map boxes) that hold a node of the language."""
     kept = focus_nodes(nodes, language).select("project", "region").distinct()
-    return rows.join(kept, ["project", "region"], "left_semi")
+    return rows.join(kept, ["project", "region"], "left_semi").select(*rows.columns)
 
 
 def focus_region_edges(region_edges: DataFrame, nodes: DataFrame, language: str) -> DataFrame:
     kept = focus_nodes(nodes, language).select("project", "region").distinct()
     return region_edges.join(kept.withColumnRenamed("region", "src"), ["project", "src"], "left_semi").join(
-        kept.withColumnRenamed("region", "dst"), ["project", "dst"], "left_semi")
+        kept.withColumnRenamed("region", "dst"), ["project", "dst"], "left_semi").select(*region_edges.columns)
 
 
 def focus_concepts(concepts: DataFrame, nodes: DataFrame, language: str) -> DataFrame:
@@ -55,7 +55,7 @@ def focus_concepts(concepts: DataFrame, nodes: DataFrame, language: str) -> Data
 
 def focus_files(files: DataFrame, nodes: DataFrame, language: str) -> DataFrame:
     kept = focus_nodes(nodes, language).select("project", "file").distinct()
-    return files.join(kept, ["project", "file"], "left_semi")
+    return files.join(kept, ["project", "file"], "left_semi").select(*files.columns)
 
 
 def language_options(regions: DataFrame) -> DataFrame:
@@ -238,11 +238,24 @@ def tier(understood: Column, partial: Column, centrality: Column, bright_at: int
         centrality >= 1, "mid").otherwise("dim")
 
 
+def _scoped(nodes: DataFrame) -> DataFrame:
+    scope = top_directory(F.col("file"), "")
+    return candidates(nodes).withColumn("scope", F.when(scope == "", "project root").otherwise(F.concat(scope, F.lit("/"))))
+
+
+def candidate_members(nodes: DataFrame) -> DataFrame:
+    """One row per candidate: its scope, the scope's place by best rank, its rank, and whether the scope starts opened.
+
+    Scopes are top-level directories; their places are per project, so only they are ordered in one group.
+    """
+    place = F.row_number().over(Window.partitionBy("project").orderBy("best_rank", "scope")).cast("int")
+    scopes = candidate_scopes(nodes).select("project", "scope", place.alias("scope_place"), "open")
+    return _scoped(nodes).join(scopes, ["project", "scope"]).select("project", "scope", "scope_place", "id", "entrypoint_rank", "open")
+
+
 def candidate_scopes(nodes: DataFrame) -> DataFrame:
     """Candidates by top-level directory; which groups start opened."""
-    scope = top_directory(F.col("file"), "")
-    name = F.when(scope == "", "project root").otherwise(F.concat(scope, F.lit("/")))
-    groups = candidates(nodes).withColumn("scope", name).groupBy("project", "scope").agg(
+    groups = _scoped(nodes).groupBy("project", "scope").agg(
         F.min("entrypoint_rank").alias("best_rank"), F.count("*").alias("candidates"))
     leading = groups.groupBy("project").agg(F.min(F.struct("best_rank", "scope"))["scope"].alias("leading"))
     return groups.join(leading, "project").select(

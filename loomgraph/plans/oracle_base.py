@@ -216,7 +216,3 @@ def with_tables(*ctes: str, recursive: bool = False) -> str:
         if cte not in seen:
             seen.append(cte)
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",".join(seen) + "\n"
-
-
-GRAPH = (NODES, EDGES)
-ROLLUP = (NODES, EDGES, CENTRAL, CANDIDATES, REGION_EDGES, REGIONS)

@@ -36,6 +36,11 @@ def l1_focus_concepts(spark: SparkSession, folder: str) -> DataFrame:
     return ops.focus_concepts(w.concepts, w.nodes, LANGUAGE)
 
 
+def l1_focus_files(spark: SparkSession, folder: str) -> DataFrame:
+    w = Warehouse(spark, folder)
+    return ops.focus_files(w.files, w.nodes, LANGUAGE)
+
+
 def l1_focus_map(spark: SparkSession, folder: str) -> DataFrame:
     """Map boxes keep their layer; only other languages' boxes go."""
     w = Warehouse(spark, folder)
@@ -128,6 +133,10 @@ def l13_candidate_scopes(spark: SparkSession, folder: str) -> DataFrame:
     return ops.candidate_scopes(Warehouse(spark, folder).nodes)
 
 
+def l13_candidate_members(spark: SparkSession, folder: str) -> DataFrame:
+    return ops.candidate_members(Warehouse(spark, folder).nodes)
+
+
 def l14_certainty_share(spark: SparkSession, folder: str) -> DataFrame:
     return ops.certainty_share(Warehouse(spark, folder).edges)
 
@@ -137,6 +146,7 @@ QUERIES = {
     "l1_focus_edges": l1_focus_edges,
     "l1_focus_region_edges": l1_focus_region_edges,
     "l1_focus_concepts": l1_focus_concepts,
+    "l1_focus_files": l1_focus_files,
     "l1_focus_map": l1_focus_map,
     "l2_language_options": l2_language_options,
     "l3_concept_chart": l3_concept_chart,
@@ -152,6 +162,7 @@ QUERIES = {
     "l12_region_tier": l12_region_tier,
     "l12_node_tier": l12_node_tier,
     "l13_candidate_scopes": l13_candidate_scopes,
+    "l13_candidate_members": l13_candidate_members,
     "l14_certainty_share": l14_certainty_share,
 }
 
@@ -187,6 +198,9 @@ SQL = {
     "l1_focus_concepts": with_tables(NODES, CONCEPT_ROWS) + """
       SELECT c.* FROM concepts c JOIN nodes n ON n.project = c.project AND n.id = c.node_id
       WHERE c.language = 'typescript' AND n.language = 'typescript'""",
+    "l1_focus_files": with_tables(NODES, FILES) + """
+      SELECT f.* FROM files f WHERE EXISTS (
+        SELECT 1 FROM nodes n WHERE n.project = f.project AND n.file = f.file AND n.language = 'typescript')""",
     "l1_focus_map": with_tables(*_ROLL, _CYCLES, _IMPORT_LAYERS, recursive=True) + """
       SELECT * FROM import_layers l WHERE EXISTS (
         SELECT 1 FROM nodes n WHERE n.project = l.project AND n.region = l.region AND n.language = 'typescript')""",
@@ -270,6 +284,12 @@ SQL = {
       groups AS (SELECT project, CASE WHEN file LIKE '%/%' THEN split_part(file, '/', 1) || '/' ELSE 'project root' END AS scope,
         min(entrypoint_rank) AS best_rank, count(*) AS candidates FROM candidates GROUP BY ALL)
       SELECT *, row_number() OVER (PARTITION BY project ORDER BY best_rank, scope) = 1 OR best_rank = 0 AS open FROM groups""",
+    "l13_candidate_members": with_tables(NODES, CANDIDATES) + """,
+      scoped AS (SELECT *, CASE WHEN file LIKE '%/%' THEN split_part(file, '/', 1) || '/' ELSE 'project root' END AS scope FROM candidates),
+      groups AS (SELECT project, scope, min(entrypoint_rank) AS best FROM scoped GROUP BY ALL),
+      placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY best, scope) AS INTEGER) AS scope_place FROM groups)
+      SELECT s.project, s.scope, p.scope_place, s.id, s.entrypoint_rank, p.scope_place = 1 OR p.best = 0 AS open
+      FROM scoped s JOIN placed p ON p.project = s.project AND p.scope = s.scope""",
     "l14_certainty_share": with_tables(NODES, EDGES) + """
       SELECT project, count(*) AS calls, count(*) FILTER (NOT certain) AS unproven,
         count(*) FILTER (NOT certain) / count(*) AS unproven_share FROM edges WHERE kind = 'call' GROUP BY project""",

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-
-from pyspark.sql import DataFrame
-
 NODES = (
     "project string, id string, kind string, name string, language string, file string, "
     "lineno int, end_lineno int, loc int, region string, entrypoint_rank int, partial boolean"
@@ -27,16 +23,3 @@ PROGRESS = (
 NODE_COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 EDGE_COLUMNS = [c.split()[0] for c in EDGES.split(", ")]
 CONCEPT_COLUMNS = [c.split()[0] for c in CONCEPTS.split(", ")]
-
-
-@dataclass(frozen=True)
-class CodeGraph:
-    """The tables that together describe a set of projects."""
-
-    nodes: DataFrame
-    edges: DataFrame
-    files: DataFrame
-    concepts: DataFrame | None = None
-
-    def with_tables(self, **tables: DataFrame) -> CodeGraph:
-        return replace(self, **tables)
