@@ -254,18 +254,24 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
     links = cut(_verified(tried, docs, nodes, percent), "links")
     roots = components(links)
 
-    rooted = members.join(roots.withColumnRenamed("node", "sid").hint("merge"), F.col("e.sid") == F.col("sid"), "left").select(
+    # What a set shares with any other lies from its first shared shingle on.
+    first = F.min("e.pos").over(Window.partitionBy("sid"))
+    placed = members.withColumn("sid", F.col("e.sid")).withColumn("e", F.col("e").withField("first", first))
+    rooted = placed.join(roots.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").select(
         "token", "e", F.coalesce("root", F.col("e.sid")).alias("root")
     )
     rooted = cut(rooted, "rooted")
     # An entry too late in its set for the smallest set of its group can pair with none.
     least = rooted.groupBy("token").agg(F.min("e.n").alias("least"))
-    able = rooted.join(least.hint("merge"), "token").where(percent * (F.col("e.n") + F.col("least")) <= (100 + percent) * (F.col("e.n") - F.col("e.pos") + COMMON - 1))
+    most = F.least(F.col("e.n") - F.col("e.first"), F.col("e.n") - F.col("e.pos") + COMMON - 1)
+    able = rooted.join(least.hint("merge"), "token").where(percent * (F.col("e.n") + F.col("least")) <= (100 + percent) * most)
     able = cut(able.drop("least"), "able")
     open_groups = able.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
     left = cut(able.join(open_groups.hint("merge"), "token", "left_semi"), "open")
     crossing = left.alias("p").join(left.alias("q").hint("merge"), (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")))
-    crossing = crossing.where(_may_link(F.col("p.e"), F.col("q.e"), percent)).select(
+    from_first = F.least(F.col("p.e.n") - F.col("p.e.first"), F.col("q.e.n") - F.col("q.e.first"))
+    enough = from_first >= _overlap_needed(F.col("p.e.n"), F.col("q.e.n"), percent)
+    crossing = crossing.where(_may_link(F.col("p.e"), F.col("q.e"), percent) & enough).select(
         F.least("p.e.sid", "q.e.sid").alias("a"), F.greatest("p.e.sid", "q.e.sid").alias("b")
     )
     crossing = crossing.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("a", "b")
