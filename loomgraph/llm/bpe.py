@@ -59,6 +59,11 @@ class Vocabulary:
             pieces[rank] = base64.b64encode(piece).decode()
         return F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
 
+    def digit_literal(self) -> Column:
+        """An array of the ranks as little-endian 32-bit integers in hexadecimal."""
+        digits = [rank.to_bytes(4, "little").hex() for rank in range(max(self.ranks.values(), default=-1) + 1)]
+        return F.from_json(F.lit(json.dumps(digits)), "array<string>")
+
 
 def _bound(literal: Column, body) -> Column:
     """``body`` of a literal that stands in the plan once."""
@@ -119,17 +124,15 @@ def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
     )
 
 
-def _packed(ids: Column) -> Column:
-    """Ids as unsigned 32-bit integers, little-endian."""
-    digits = F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0"))
-    turned = F.transform(digits, lambda d: F.concat(d.substr(7, 2), d.substr(5, 2), d.substr(3, 2), d.substr(1, 2)))
-    return F.unhex(F.array_join(turned, ""))
+def _packed(ids: Column, vocabulary: Vocabulary) -> Column:
+    """Ids as unsigned 32-bit integers, little-endian, looked up in hexadecimal."""
+    return _bound(vocabulary.digit_literal(), lambda digits: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(digits, i)), "")))
 
 
 def _with_codes(pieces: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Adds ``ids`` (packed) and ``bytes`` to rows with ``piece``."""
     coded = pieces.withColumn("_ids", encoded(F.col("piece").cast("binary"), vocabulary))
-    return coded.withColumn("ids", _packed(F.col("_ids"))).withColumn("bytes", decoded(F.col("_ids"), vocabulary)).drop("_ids")
+    return coded.withColumn("ids", _packed(F.col("_ids"), vocabulary)).withColumn("bytes", decoded(F.col("_ids"), vocabulary)).drop("_ids")
 
 
 def frequent_pieces(pieces: DataFrame, limit: int = FREQUENT) -> DataFrame:
@@ -238,7 +241,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> Data
     rows = looked.select(
         "row",
         "pos",
-        F.coalesce("_ids", _packed(F.col("_rare"))).alias("ids"),
+        F.coalesce("_ids", _packed(F.col("_rare"), vocabulary)).alias("ids"),
         F.coalesce("_bytes", decoded(F.col("_rare"), vocabulary)).alias("bytes"),
         F.when(size > LONG, F.col("piece").cast("binary")).alias("long"),
     )
