@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.text import whole
 from loomgraph.session import cut, ship
 
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 SHORT, LONG = 64, 2048
 _BUCKETS = 1 << 16
 
