@@ -273,3 +273,14 @@ def test_training_lowers_the_loss(spark):
     trained = language_model.train(docs, path)
     assert language_model.text_scores(trained, tokens).sum() > 0.96 * language_model.text_scores(p, tokens).sum()
     assert base64.b64encode(language_model._pack(trained)) != base64.b64encode(language_model._pack(p))
+
+
+def test_language_model_learns_from_every_training_row_once(spark, frame, odd_rows, monkeypatch):
+    rows = odd_rows + [(100 + i, prose(i, 20)) for i in range(40)]
+    seen, train = [], language_model.train
+    monkeypatch.setattr(language_model, "train", lambda docs, path: seen.append(docs) or train(docs, path))
+    language_model.scored(frame(rows), language_model.held_out(F.col("doc_id")), tokenizer("byte_bpe_50k.tiktoken"))
+    learns = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2
+    want = Counter(text for id_, text, *_ in rows if learns(id_))
+    dealt = [Counter(r.text for r in language_model.round_texts(seen[0], turn, 3).toLocalIterator()) for turn in range(3)]
+    assert sum(dealt, Counter()) == Counter(r.text for r in seen[0].toLocalIterator()) == want and all(dealt)
