@@ -2,13 +2,16 @@
 
 Every rule looks at one measure of a text and says good, bad or nothing. How
 often a rule says each of these on good and on bad texts is not given but
-estimated: documents are counted by their vector of votes (at most 3 to the
-number of rules), and expectation-maximisation runs over that bounded table
-inside one expression. The posterior probability of good decides.
+estimated: distinct texts that pass the base test are counted by their vector of
+votes (at most 3 to the number of rules), and expectation-maximisation runs over
+that bounded table inside one expression. The posterior probability of good
+decides. Copies and texts that the base test rejects anyway would make a class of
+their own.
 
 Defined cases: a null or empty text has no words and fails the base test; rows
-with equal texts get equal verdicts; columns of the input are not touched; an
-empty table gives an empty result.
+with equal texts get equal verdicts; without a text that passes the base test all
+are as likely good as bad; columns of the input are not touched; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,16 +122,26 @@ def vote_code(m: Column) -> Column:
     return code.cast("int")
 
 
+def counted(measures: DataFrame) -> DataFrame:
+    """``code, n``: every vector of votes of rows with ``_m`` and ``_text`` (hash), and its number of distinct texts that pass the base test."""
+    texts = measures.select(vote_code(F.col("_m")).alias("code"), base_failed(F.col("_m")).alias("failed"), "_text").distinct()
+    return texts.groupBy("code").agg(F.count_if(~F.col("failed")).alias("n"))
+
+
 def posteriors(codes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``code, p_good`` for every vector of votes that occurs in column ``code``.
+    """``code, p_good`` for every vector of votes that occurs in column ``code``, each row counting once."""
+    return estimated(codes.groupBy("code").agg(F.count("*").alias("n")), rounds)
+
+
+def estimated(counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``code, p_good`` for every row ``code, n``; one with n = 0 is judged by what the others teach.
 
     ``theta`` holds, for good and then for bad texts, each rule's chances of the
     three votes. A step with an odd number works out the posteriors from it, an
     even one estimates it and the prior from the posteriors. A text with a bad
     vote starts as likely bad, any other as likely good.
     """
-    counted = codes.groupBy("code").agg(F.count("*").alias("n"))
-    seen = counted.agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("seen")).where("size(seen) > 0")
+    seen = counts.agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("seen")).where("size(seen) > 0")
     votes = f"transform(seen, s -> transform(sequence(0, {RULES - 1}), j -> cast(s.code div cast(pow(3, j) as int) % 3 as int)))"
     table = seen.selectExpr("seen", f"{votes} as v").selectExpr(
         "seen", "v", f"transform(v, x -> if(array_contains(x, {BAD}), 0.1D, 0.9D)) as start"
@@ -168,8 +181,8 @@ def judged(measures: DataFrame, p_good: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame) -> DataFrame:
     """``doc_id``, the measures, ``p_good``, ``base_failed`` and ``kept`` of every document."""
-    measures = cut(measured(docs.select("doc_id", "text")).select("doc_id", "_m"), "measures")
-    p_good = posteriors(measures.select(vote_code(F.col("_m")).alias("code")))
+    measures = cut(measured(docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))).select("doc_id", "_text", "_m"), "measures")
+    p_good = estimated(counted(measures))
     return judged(measures, p_good).select("doc_id", "_m.*", "p_good", "base_failed", "kept")
 
 
@@ -179,5 +192,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Measures are worked out again beside the texts, so texts are never shuffled.
     """
     shut = docs.select(F.struct("*").alias("_own"), "text")
-    p_good = cut(posteriors(measured(docs.select("text")).select(vote_code(F.col("_m")).alias("code"))), "votes")
+    p_good = cut(estimated(counted(measured(docs.select("text", F.xxhash64("text").alias("_text"))))), "votes")
     return judged(measured(shut), p_good).where("kept").select("_own.*")

@@ -78,6 +78,20 @@ def test_quality_rules_find_junk_and_keep_clean_texts(spark, frame):
     assert quality.keep_good(frame(clean)).columns == frame(clean).columns
 
 
+def test_copies_and_texts_that_fail_the_base_test_do_not_hide_junk(spark, frame):
+    from tests.llm.conftest import prose
+
+    clean = [(i, prose(i, 150)) for i in range(60)]
+    marked = [(100 + i, re.sub(r"(\S)( |$)", r"\1###\2", prose(200 + i, 150))) for i in range(4)]
+    copies = [(1000 + i, "to be sold here " * 40) for i in range(32)]
+    rows = clean + marked + copies
+    assert {r.doc_id for r in quality.keep_good(frame(rows)).toLocalIterator()} == set(range(60))
+    assert {r.doc_id for r in quality.score(frame(rows)).toLocalIterator() if r.kept} == set(range(60))
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    passing = quality.score(small).where("not base_failed").select("kept", (F.col("n_symbols") > 0.1 * F.col("n_words")).alias("junk"))
+    assert {(r.kept, r.junk): r["count"] for r in passing.groupBy("kept", "junk").count().toLocalIterator()} == {(True, False): 160, (False, True): 11}
+
+
 def test_posteriors_match_a_plain_estimation(spark):
     votes = [([1] * 8, 90), ([2, 1, 1, 1, 1, 1, 1, 2], 6), ([1, 2, 0, 2, 2, 1, 2, 1], 4), ([0] * 8, 3)]
     codes = [sum(v * 3**i for i, v in enumerate(vote)) for vote, n in votes for _ in range(n)]
