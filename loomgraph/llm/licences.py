@@ -12,6 +12,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ SPELLINGS = [
     ("copyright owner", "copyright holder"),
     ("favour", "favor"),
     ("fulfilment", "fulfillment"),
+    ("https", "http"),
     ("judgement", "judgment"),
     ("labour", "labor"),
     ("licence", "license"),
@@ -69,6 +72,17 @@ required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
 }
+# How many lines with words at the top of a text are its title; texts of the folder are read beside those above.
+TITLES = {
+    "Apache-2.0": 3, "BSD-2-Clause": 1, "BSD-3-Clause": 1, "CC0-1.0": 2, "GPL-2.0": 2, "GPL-3.0": 2, "LGPL-2.0": 2,
+    "LGPL-2.1": 2, "LGPL-3.0": 2, "MPL-1.1": 2, "MPL-2.0": 1, "Unlicense": 1,
+}
+HEADS = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+    "BSD-2-Clause": ["The BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["The BSD 3-Clause License", "BSD License", "New BSD License"],
+}
 NOTICES = {
     "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
     "This work is licensed under the Apache License, Version 2.0.": "Apache-2.0",
@@ -85,10 +99,29 @@ NOTICES = {
 }
 
 
+# Words that follow "copyright" where a sentence of a licence runs over a line's end; other such lines are copyright lines.
+_RUNNING = "(?:also|and|holders?|in|interests?|laws?|license|line|notices?|on|or|owners?|statements?|to)\\b"
+
+
+def licence_texts() -> list[tuple[str, str]]:
+    """``text, licence`` of every known whole text: with its usual titles and without, with the advice behind its terms and without."""
+    texts = dict(LICENCES)
+    for name in TITLES:
+        texts[name] = (Path(__file__).parent / "licence_texts" / f"{name}.txt").read_text(encoding="utf-8")
+    out = []
+    for name, text in texts.items():
+        lines = [line for line in text.splitlines() if any(c.isalnum() for c in line)]
+        last = [i for i, line in enumerate(lines) if line.strip() == "END OF TERMS AND CONDITIONS"]
+        for body in (lines, *([lines[: last[0] + 1], lines[: last[0]]] if last else [])):
+            bare = body[TITLES.get(name, 0) :]
+            out += [("\n".join(found), name) for found in (body, bare, *([head, *bare] for head in HEADS.get(name, [])))]
+    return out
+
+
 def canonical_lines(text: Column) -> Column:
     """The text with every line canonical, each between two spaces; copyright lines are empty."""
     line = F.regexp_replace(F.lower(whole(text)), r"[^\p{L}\p{N}\n]+", " ")
-    line = F.regexp_replace(line, r"(?m)^ ?(?:copyright (?:c )?(?:\p{N}|by )|c \p{N}{4}|all rights reserved ?$)[^\n]*", "")
+    line = F.regexp_replace(line, r"(?m)^ ?(?:copyright(?: (?!" + _RUNNING + r")|$)|c \p{N}{4}|all rights reserved ?$)[^\n]*", "")
     line = F.concat(F.lit(" "), F.replace(line, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for other, usual in SPELLINGS:
         line = F.replace(line, F.lit(f" {other} "), F.lit(f" {usual} "))
@@ -102,7 +135,7 @@ def canonical(lines: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """``digest, licence`` of the known texts, a parameter; of texts with one digest the first counts."""
-    rows = known if known is not None else [(text, name) for name, text in LICENCES.items()] + list(NOTICES.items())
+    rows = known if known is not None else licence_texts() + list(NOTICES.items())
     table = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "i int, text string, licence string")
     digest = F.sha2(canonical(canonical_lines(F.col("text"))), 256)
     return table.groupBy(digest.alias("digest")).agg(F.min_by("licence", "i").alias("licence"))

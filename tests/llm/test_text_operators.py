@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import defaultdict
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -150,6 +151,17 @@ def test_licences_are_found_through_other_spellings_and_copyright_lines(spark, f
     assert licences.scan(frame([])).count() == 0
 
 
+def test_whole_licences_are_found_with_titles_and_any_copyright_line(spark, frame):
+    folder = Path(licences.__file__).parent / "licence_texts"
+    names = sorted(licences.TITLES)
+    rows = [(i, (folder / f"{name}.txt").read_text()) for i, name in enumerate(names)]
+    mit = " ".join(licences.LICENCES["MIT"].split())
+    rows += [(50, "MIT License\n\nCopyright (c) Microsoft Corporation\n\n" + mit), (51, "Copyright The Authors\n" + licences.LICENCES["MIT"])]
+    rows += [(52, rows[names.index("GPL-3.0")][1].split("END OF TERMS")[0]), (53, rows[names.index("BSD-3-Clause")][1].split("\n", 1)[1])]
+    got = {r.doc_id: r.licence for r in licences.scan(frame(rows)).select("_own.doc_id", "licence").toLocalIterator()}
+    assert got == {**dict(enumerate(names)), 50: "MIT", 51: "MIT", 52: "GPL-3.0", 53: "BSD-3-Clause"}
+
+
 def test_hashes_of_texts_are_of_their_bytes(spark, frame):
     row = line_dedup.dedup(frame([(1, "É\n")])).select(F.sha2("kept_text", 256).alias("h")).first()
     assert row.h == hashlib.sha256("É\n".encode()).hexdigest()
