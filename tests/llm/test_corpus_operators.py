@@ -244,6 +244,12 @@ def test_windows_score_every_token_once():
     assert inputs[0, 0] == language_model.END
 
 
+def test_later_windows_give_eight_tokens_of_context():
+    inputs, targets, scored, _ = language_model.windows(np.arange(200), np.array([200]))
+    assert inputs.shape[1] == 32 and scored[0].all() and (~scored[1:, :8]).all() and scored[1, 8:].all()
+    assert np.array_equal(inputs[1, :9], np.arange(23, 32))
+
+
 def test_language_model_scores(spark, frame, odd_rows):
     rows = odd_rows + [(100 + i, prose(i, 60)) for i in range(120)]
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
