@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, fingerprints, language_model, licences, line_dedup, mixing, ngram_join, quality, toxicity, urls
+from loomgraph.llm import bpe, fingerprints, language_model, licences, line_dedup, mixing, ngram_join, quality, toxicity, urls, whitening
 from loomgraph.llm.text import table
 
 
@@ -173,6 +173,10 @@ FROM sizes JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY d
 """
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mixing": op2_mixing,
@@ -184,5 +188,6 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_fingerprints": op9_fingerprints,
     "op10_ngram_join": op10_ngram_join,
+    "op13_whitening": op13_whitening,
 }
 SQL = {"op3_line_dedup": LINE_DEDUP_SQL, "op5_url_filters": URL_FILTERS_SQL, "op10_ngram_join": NGRAM_JOIN_SQL}
