@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, fingerprints, language_model, licences, line_dedup, mixing, ngram_join, quality, toxicity, urls, whitening
+from loomgraph.llm import bpe, fingerprints, language_model, lexical_search, licences, line_dedup, mixing, ngram_join, quality, toxicity, urls, whitening, word_bpe
 from loomgraph.llm.text import table
 
 
@@ -173,6 +173,50 @@ FROM sizes JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY d
 """
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return lexical_search.search(docs.select("doc_id", "text"), items.select("item_id", "text"))
+
+
+LEXICAL_SEARCH_SQL = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents
+), asked AS (
+    SELECT item_id, term, count(*) AS times
+    FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+    GROUP BY item_id, term
+), sizes AS (
+    SELECT doc_id, count(*)::BIGINT AS n FROM words GROUP BY doc_id
+), total AS (
+    SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes
+), lengths AS (
+    SELECT doc_id, 100 - 75 + ((75 * n * docs) // terms) AS m FROM sizes, total
+), held AS (
+    SELECT doc_id, term, count(*)::BIGINT AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term
+), weights AS (
+    SELECT term, floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE)))::BIGINT AS w FROM held, total GROUP BY term, docs
+), scores AS (
+    SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id
+), ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op12_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = word_bpe.encode(docs, word_bpe.Vocabulary(tokenizer("word_bpe_49k.json")))
+    return coded.select(
+        "doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
 
@@ -188,6 +232,8 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_fingerprints": op9_fingerprints,
     "op10_ngram_join": op10_ngram_join,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_word_bpe": op12_word_bpe,
     "op13_whitening": op13_whitening,
 }
-SQL = {"op3_line_dedup": LINE_DEDUP_SQL, "op5_url_filters": URL_FILTERS_SQL, "op10_ngram_join": NGRAM_JOIN_SQL}
+SQL = {"op3_line_dedup": LINE_DEDUP_SQL, "op5_url_filters": URL_FILTERS_SQL, "op10_ngram_join": NGRAM_JOIN_SQL, "op11_lexical_search": LEXICAL_SEARCH_SQL}

@@ -46,5 +46,5 @@ def test_stages_take_an_empty_table(spark, frame):
 
 
 def test_each_operator_has_one_query(spark):
-    assert [n.split("_")[0] for n in QUERIES] and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in [*range(1, 11), 13]}
+    assert [n.split("_")[0] for n in QUERIES] and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(SQL) <= set(QUERIES) and len(corpus_pipeline.STAGES) == 5
