@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from loomgraph.plans import views
 from loomgraph.plans.oracle_base import NODES, with_tables
 from loomgraph.plans.warehouse import Warehouse
+from loomgraph.session import scratch_path
 from loomgraph.sources import corpus as ops
+from loomgraph.sources import tree
 from loomgraph.sources.sink import canonical_json
 
 
@@ -17,6 +19,13 @@ def s1_corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
         "project", "path", "ext", F.octet_length("content").alias("bytes"))
 
 
+def s1_scan_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents written out as trees of files, and read back with what the ignore rules leave."""
+    written = tree.write_tree(Warehouse(spark, folder).documents, scratch_path(spark, "trees"))
+    return ops.scan_roots(written).select(
+        "project", "path", "ext", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def _kept(spark: SparkSession, folder: str) -> DataFrame:
     return ops.keep_readable(Warehouse(spark, folder).documents)
 
@@ -56,6 +65,7 @@ def s8_canonical_json(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "s1_corpus_scan": s1_corpus_scan,
+    "s1_scan_tree": s1_scan_tree,
     "s2_ignore_filter": s2_ignore_filter,
     "s3_ownership": s3_ownership,
     "s4_unsupported_tally": s4_unsupported_tally,
@@ -92,6 +102,8 @@ _D = with_tables(DOCUMENTS)
 
 SQL = {
     "s1_corpus_scan": _D + "SELECT project, path, ext, CAST(octet_length(encode(text)) AS INTEGER) AS bytes FROM docs",
+    "s1_scan_tree": _D + """SELECT k.project, k.path, k.ext, CAST(octet_length(encode(d.text)) AS INTEGER) AS bytes, sha256(d.text) AS sha256
+      FROM kept k JOIN docs d ON d.project = k.project AND d.path = k.path""",
     "s2_ignore_filter": _D + "SELECT project, path FROM kept",
     "s3_ownership": _D + "SELECT project, path, language FROM owned",
     "s4_unsupported_tally": _D + """

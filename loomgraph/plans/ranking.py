@@ -45,6 +45,21 @@ def ordered_index(
     )
 
 
+def running_total(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows up to this one, in the given total order.
+
+    As above: every range sums its own rows, and one row per range gives the offsets.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_slice", F.spark_partition_id()), "ranged")
+    first = Window.unboundedPreceding
+    local = F.sum(value).over(Window.partitionBy("_slice").orderBy(*order).rowsBetween(first, 0))
+    sums = ranged.groupBy("_slice").agg(F.sum(value).alias("_sum"))
+    # One row per range, in one task.
+    offsets = sums.select("_slice", F.coalesce(F.sum("_sum").over(Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(first, -1)), F.lit(0)).alias("_offset"))
+    return ranged.withColumn("_local", local).join(offsets, "_slice").withColumn(name, F.col("_local") + F.col("_offset")).drop("_slice", "_local", "_offset")
+
+
 def top_rows(df: DataFrame, group: list[str], order: list, limit: int, name: str = "place") -> DataFrame:
     """First ``limit`` rows per group, 1-based.
 

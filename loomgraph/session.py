@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "loomgraph", cpus: str = "*", shuffle: int = 8) -> SparkSession:
@@ -94,6 +95,13 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """A written table with a broadcast hint if it is measured to be small, and with a merge hint otherwise."""
+    texts = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind == "string"]
+    row = df.agg(F.count("*"), *texts).first()
+    return df.hint("broadcast" if 16 * len(df.columns) * row[0] + sum(v or 0 for v in row[1:]) <= limit else "merge")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Use every core on a scan that has fewer splits than the session has cores.
 

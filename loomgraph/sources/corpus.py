@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Iterator
+from collections.abc import Callable
+
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loomgraph.functions.paths import extension, segments, top_directory
-from loomgraph.plans.iterate import expand
 from loomgraph.plans.ranking import top_rows
-from loomgraph.session import cut, ship
+from loomgraph.session import cut, ship, small_side
+from loomgraph.sources import tree
 
 # Directories never read, besides hidden ones.
 SKIPPED_DIRECTORIES = ["venv", ".venv", "node_modules", "__pycache__"]
@@ -45,58 +45,25 @@ SCOPE_ROWS = 6
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 
 
-def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of each directory, with whether they are directories."""
-    from pyarrow import fs
-
-    for batch in batches:
-        found = []
-        for entry in batch.to_pylist():
-            store, base = fs.FileSystem.from_uri(entry["root"])
-            inside = f"{base}/{entry['path']}".rstrip("/")
-            for info in store.get_file_info(fs.FileSelector(inside)):
-                found.append((entry["root"], info.path.removeprefix(base).lstrip("/"), info.type == fs.FileType.Directory))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.bool_()))],
-            names=["root", "path", "is_directory"])
+def scan_roots(roots: DataFrame) -> DataFrame:
+    """Read the trees of ``(project, root)`` as ``(project, path, ext, content)``.
 
+    A root is a directory or a single file. Paths are judged by the skipped
+    directories and by each root's ``.gitignore`` before anything else is read,
+    so contents that will not be kept are never opened. The result is written:
+    every later use reads a table and not the trees.
+    """
 
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyarrow import fs
+    def keep(listed: DataFrame, contents: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        rules = ignore_rules(contents(listed.where(F.col("path") == ".gitignore")))
+        return _without_ignored(listed, cut(rules, "rules"))
 
-    for batch in batches:
-        for entry in batch.to_pylist():
-            store, base = fs.FileSystem.from_uri(entry["root"])
-            with store.open_input_stream(f"{base}/{entry['path']}") as stream:
-                content = stream.readall()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([entry["path"]]), pa.array([content], pa.binary())], names=["path", "content"])
+    return cut(with_extension(tree.read_tree(roots, SKIPPED_DIRECTORIES, keep)), "corpus")
 
 
 def scan_directory(spark: SparkSession, root: str, project: str) -> DataFrame:
-    """Read a directory tree as ``(project, path, ext, content)``.
-
-    Spark's own file listing leaves out empty files and names that start with a
-    dot or an underscore, which here are ``.gitignore`` and ``__init__.py``. So
-    directories are listed by tasks, one level per round, and hidden or skipped
-    ones are not entered; then tasks read the files. The result is written, so
-    every later use reads a table and not the tree.
-    """
-    ship(spark)
-    uri = root.rstrip("/") if "://" in root else f"file://{root.rstrip('/')}"
-    entries = "root string, path string, is_directory boolean"
-    name = F.element_at(F.split("path", "/"), -1)
-    entered = F.col("is_directory") & ~name.startswith(".") & ~name.isin(*SKIPPED_DIRECTORIES)
-
-    def step(frontier: DataFrame, number: int) -> DataFrame:
-        inner = frontier.where("is_directory").select("root", "path")
-        return inner.repartition(inner.sparkSession.sparkContext.defaultParallelism).mapInArrow(_children, entries).where(
-            entered | ~F.col("is_directory"))
-
-    start = spark.createDataFrame([(uri, "", True)], entries)
-    files = expand(start, step, ["root", "path"]).where(~F.col("is_directory")).select("root", "path")
-    read = files.repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(_contents, "path string, content binary")
-    return cut(with_extension(read.select(F.lit(project).alias("project"), "path", "content")), "corpus")
+    """One tree, or one file, as a corpus."""
+    return scan_roots(spark.createDataFrame([(project, root)], "project string, root string"))
 
 
 def scan_table(corpus: DataFrame) -> DataFrame:
@@ -124,13 +91,42 @@ def _nested_plain(expression: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def _glob_regex(pattern: pd.Series) -> pd.Series:
-    """Shell pattern to a regular expression that Java reads the same way, from the first to the last character."""
+def _class_regex(pattern: pd.Series) -> pd.Series:
+    """A shell pattern with character classes as a regular expression that Java reads the same way."""
     return pattern.map(lambda p: r"\A" + _nested_plain(fnmatch.translate(p)).replace(r"\Z", r"\z"))
 
 
+def _plain_regex(pattern: Column) -> Column:
+    """A shell pattern of stars, question marks and plain text as a regular expression."""
+    quoted = F.replace(F.replace(pattern, F.lit("*"), F.lit(r"\E.*\Q")), F.lit("?"), F.lit(r"\E.\Q"))
+    return F.concat(F.lit(r"(?s)\A\Q"), quoted, F.lit(r"\E\z"))
+
+
+def _rule_key(pattern: Column) -> Column:
+    """What an entry must hold for a rule to match it: a whole segment, a last suffix, or nothing in particular.
+
+    Segments without glob characters match themselves, and the longest is the
+    key. Else, where the pattern's own suffix has none, the key is that suffix.
+    """
+    plain = F.filter(segments(pattern), lambda part: ~part.rlike(r"[*?]"))
+    longest = F.sort_array(F.transform(plain, lambda part: F.struct(F.length(part).alias("n"), part.alias("part"))), asc=False)
+    suffix = F.regexp_extract(pattern, r"\.([^./*?]+)$", 1)
+    return F.when(pattern.rlike(r"[\[\\]"), F.lit("")).when(
+        F.size(plain) > 0, F.concat(F.lit("/"), F.try_element_at(longest, F.lit(1))["part"])
+    ).when(suffix != "", F.concat(F.lit("."), suffix)).otherwise(F.lit(""))
+
+
+def _entry_keys(entry: Column) -> Column:
+    """All keys of rules that can match an entry."""
+    parts = segments(entry)
+    suffixes = F.filter(F.transform(parts, lambda part: F.regexp_extract(part, r"\.([^.]+)$", 1)), lambda s: s != "")
+    return F.array_distinct(F.concat(
+        F.array(F.lit("")), F.transform(parts, lambda part: F.concat(F.lit("/"), part)), F.transform(suffixes, lambda s: F.concat(F.lit("."), s))))
+
+
 def ignore_rules(corpus: DataFrame) -> DataFrame:
-    """The rules of every project's root ``.gitignore``, in file order."""
+    """The rules of every project's root ``.gitignore``, in file order, each with the key that entries fetch it by."""
+    ship(corpus.sparkSession)
     text = corpus.where(F.col("path") == ".gitignore").select("project", F.col("content").cast("string").alias("text"))
     lines = text.select("project", F.posexplode(F.split("text", LINE_END)).alias("rule_no", "line")).select(
         "project", "rule_no", F.regexp_replace("line", r"(?U)^\s+|\s+\z", "").alias("line")
@@ -138,55 +134,81 @@ def ignore_rules(corpus: DataFrame) -> DataFrame:
     negated = F.col("line").startswith("!")
     raw = F.when(negated, F.expr("substring(line, 2)")).otherwise(F.col("line"))
     pattern = F.regexp_replace(F.regexp_replace(raw, "/+$", ""), "^/+", "")
-    return lines.select(
+    rules = lines.select(
         "project", "rule_no", negated.alias("negated"), raw.endswith("/").alias("directory_only"),
-        pattern.alias("pattern"), pattern.contains("/").alias("rooted"), _glob_regex(pattern).alias("regex"))
+        pattern.alias("pattern"), pattern.contains("/").alias("rooted"), _rule_key(pattern).alias("key"))
+    special = F.col("pattern").rlike(r"[\[\\]")
+    return rules.where(~special).withColumn("regex", _plain_regex(F.col("pattern"))).unionByName(
+        rules.where(special).withColumn("regex", _class_regex("pattern")))
 
 
-def _rule_hits(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """Whether the last matching rule ignores each ``(project, entry, is_directory)``.
+def rule_candidates(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every ``(project, entry, is_directory)`` with the rules whose key it holds."""
+    keyed = paths.withColumn("key", F.explode(_entry_keys(F.col("entry"))))
+    return keyed.join(rules, ["project", "key"]).drop("key")
 
-    Rules are joined on the project, so a project with rules tests its own
-    paths only and paths of other projects never meet them.
-    """
+
+def _rule_hits(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """Whether the last matching rule ignores each ``(project, entry, is_directory)``."""
     entry = F.col("entry")
     under = F.startswith(entry, F.concat("pattern", F.lit("/")))
     by_name = F.exists(segments(entry), lambda part: F.regexp(part, F.col("regex")))
     hit = F.when(F.col("rooted"), F.regexp(entry, F.col("regex")) | under).otherwise(by_name)
     applies = ~F.col("directory_only") | F.col("is_directory") | under
     return (
-        paths.join(rules, "project").where(hit & applies)
+        rule_candidates(paths, rules).where(hit & applies)
         .groupBy("project", "entry", "is_directory")
         .agg(F.max_by("negated", "rule_no").alias("negated"))
         .where(~F.col("negated")).select("project", "entry", "is_directory")
     )
 
 
-def keep_readable(corpus: DataFrame) -> DataFrame:
-    """Drop files under hidden, skipped or ignored directories, and ignored files.
+def _plain_paths(files: DataFrame) -> DataFrame:
+    """Files that are not under a hidden or skipped directory."""
+    everywhere = [set(d) for _, _, d in OWNERS]
+    barred = SKIPPED_DIRECTORIES + sorted(set.intersection(*everywhere))
+    parts = segments(F.col("path"))
+    return files.where(~F.exists(
+        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
+        lambda d: d.startswith(".") | d.isin(*barred)))
+
+
+def ignored_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(project, path)`` of files that the rules ignore, or that lie under an ignored directory.
 
     Every directory above a file is judged on its own, since nothing below an
     ignored directory is ever read; a later ``!`` rule cannot bring it back.
-    Directories are judged once each, not once per file.
+    Directories are judged once each, not once per file. Projects without
+    rules take no part.
     """
-    ship(corpus.sparkSession)
-    rules = ignore_rules(corpus)
     parts = segments(F.col("path"))
     parents = F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     above = F.when(F.size(parts) > 1, parents).otherwise(F.array().cast("array<string>"))
-    everywhere = [set(d) for _, _, d in OWNERS]
-    barred = SKIPPED_DIRECTORIES + sorted(set.intersection(*everywhere))
-    plain = corpus.where(~F.exists(
-        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda d: d.startswith(".") | d.isin(*barred)))
-    listed = plain.select("project", "path", F.explode(F.array_append(
+    ruled = paths.join(rules.select("project").distinct(), "project", "left_semi")
+    listed = ruled.select("project", "path", F.explode(F.array_append(
         F.transform(above, lambda d: F.struct(d.alias("entry"), F.lit(True).alias("is_directory"))),
         F.struct(F.col("path").alias("entry"), F.lit(False).alias("is_directory")))).alias("e")
     ).select("project", "path", "e.entry", "e.is_directory")
     judged = _rule_hits(listed.select("project", "entry", "is_directory").distinct(), rules)
-    dropped = listed.join(judged, ["project", "entry", "is_directory"], "left_semi").select("project", "path").distinct()
-    return plain.join(dropped, ["project", "path"], "left_anti")
+    return listed.join(judged, ["project", "entry", "is_directory"], "left_semi").select("project", "path").distinct()
+
+
+def _without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """``files`` whose paths are neither barred nor ignored. Paths alone are judged and shuffled."""
+    plain = _plain_paths(files)
+    dropped = cut(ignored_paths(plain.select("project", "path"), rules), "ignored")
+    return plain.join(small_side(dropped), ["project", "path"], "left_anti")
+
+
+def keep_readable(corpus: DataFrame) -> DataFrame:
+    """Drop files under hidden, skipped or ignored directories, and ignored files.
+
+    Contents stay where they are as long as the table of ignored paths is small
+    enough to broadcast, which is measured; a scan of a tree judges paths
+    before it reads, and does without even that.
+    """
+    return _without_ignored(corpus, cut(ignore_rules(corpus), "rules"))
 
 
 # ---- ownership and tallies -----------------------------------------------
