@@ -46,6 +46,52 @@ def tiered(keys: list[str], tiers: Sequence[DataFrame | Late]) -> DataFrame:
     return pool.join(best, [*keys, "tier"], "left_semi").select(*keys, "dst", "certain", "external").distinct()
 
 
+# Names with more than one in so many of all rows or matches are spread; there are fewer than three times as many of them.
+SPREAD_NAMES = 1024
+
+
+def heavy_names(rows: DataFrame, named: DataFrame, on: list[str], most: int = SPREAD_NAMES) -> DataFrame:
+    """``on, cells, split_rows`` of the names that hold more than one in ``most`` of either side's rows or of all matches.
+
+    Fewer than ``most`` names can do each, so the table has a fixed bound.
+    ``cells`` is how many parts the larger side of the name is cut into, none
+    for a name that only one side has.
+    """
+    asked = rows.groupBy(*on).agg(F.count("*").alias("asked"))
+    given = named.groupBy(*on).agg(F.count("*").alias("given"))
+    sizes = asked.join(given, on, "full").select(
+        *on, F.coalesce("asked", F.lit(0)).cast("double").alias("asked"), F.coalesce("given", F.lit(0)).cast("double").alias("given"))
+    sizes = cut(sizes.withColumn("matches", F.col("asked") * F.col("given")), "names")
+    totals = sizes.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("asked", "given", "matches")]).first()
+    shares = {c: max(total / most, 1.0) for c, total in zip(("asked", "given", "matches"), totals, strict=True)}
+    above = reduce(Column.__or__, [F.col(c) > share for c, share in shares.items()])
+    parts = F.greatest(*[F.ceil(F.col(c) / F.lit(share)) for c, share in shares.items()])
+    cells = F.when(F.col("matches") > 0, F.least(parts, F.ceil(F.greatest("asked", "given")))).otherwise(0).cast("int")
+    return sizes.where(above).select(*on, cells.alias("cells"), (F.col("asked") >= F.col("given")).alias("split_rows"))
+
+
+def split_join(rows: DataFrame, named: DataFrame, on: list[str], most: int = SPREAD_NAMES) -> DataFrame:
+    """``rows`` joined with ``named``, both having the name columns ``on``, and names common on either side spread.
+
+    All matches are given. The larger side of a heavy name is cut into cells by
+    hash, and the smaller one is copied to each, so that no task gets a name
+    whole; a cell holds no more copies than it gives matches. Rows of heavy
+    names that the other side lacks are left out first.
+    """
+    rows, named = cut(rows, "asked"), cut(named, "named")
+    # Fewer than 3 * most rows.
+    heavy = F.broadcast(cut(heavy_names(rows, named, on, most), "heavy"))
+
+    def dealt(side: DataFrame, cut_up: Column) -> DataFrame:
+        own = F.pmod(F.xxhash64(*side.columns), F.greatest("cells", F.lit(1))).cast("int")
+        every = F.filter(F.sequence(F.lit(0), F.col("cells")), lambda cell: cell < F.col("cells"))
+        cell = F.when(F.col("cells").isNull(), F.array(F.lit(0))).when(cut_up & (F.col("cells") > 0), F.array(own)).otherwise(every)
+        return side.join(heavy, on, "left").select(*side.columns, F.explode(cell).alias("_cell"))
+
+    left, right = dealt(rows, F.col("split_rows")), dealt(named, ~F.col("split_rows"))
+    return left.join(right.hint("merge"), [*on, "_cell"]).drop("_cell")
+
+
 def unresolved(calls: DataFrame, resolved: DataFrame, keys: list[str]) -> DataFrame:
     return calls.join(resolved.select(*keys).distinct(), keys, "left_anti")
 
