@@ -119,13 +119,11 @@ def t7_relationships(spark: SparkSession, folder: str) -> DataFrame:
 def p8_progress_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The whole events table read as a stream, then the live view of it."""
     w = Warehouse(spark, folder)
-    state = scratch_path(spark, "progress-state")
     raw = spark.readStream.schema(views.table(spark, folder, "events").schema).option(
         "pathGlobFilter", "events.parquet").parquet(folder)
-    query = stream_ops.run(
-        raw, lambda batch: views.progress_events(spark, folder, w.signatures, batch), state, scratch_path(spark, "progress-offsets"))
-    query.awaitTermination()
-    return stream_ops.view(stream_ops.read_state(spark, state), w.signatures, w.regions)
+    checkpoint = scratch_path(spark, "progress")
+    stream_ops.run(views.progress_events(spark, folder, w.signatures, raw), checkpoint).awaitTermination()
+    return stream_ops.view(stream_ops.read_state(spark, checkpoint), w.signatures, w.regions)
 
 
 QUERIES = {

@@ -1,67 +1,106 @@
 """Learner progress kept live from an event stream.
 
-Every fold here is a maximum over moments, so events may arrive late, twice or
-out of order. Each micro-batch is reduced to one row per learner, project and
-region and written under its batch number; a repeated batch overwrites itself.
-Reading folds the batches again, and compaction replaces many by one.
+The state is one row per learner, project and region, kept by Spark's state
+store and changed by ``transformWithState``. Every fold is a maximum over
+moments, so events may arrive late, twice or out of order, and a repeated batch
+changes nothing. The store holds as many rows as there are keys, however many
+batches have passed; reading it reads those rows and not the batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 KEYS = ["learner_id", "project", "region"]
-STATE = (
-    "learner_id long, project string, region string, visited struct<ts:timestamp,event_id:long>, "
-    "passed struct<at:struct<ts:timestamp,event_id:long>,signature:string>, cleared struct<ts:timestamp,event_id:long>"
-)
+# Moments are (microseconds, event_id); a pass carries its signature behind its moment.
+VALUE = "visited_ts bigint, visited_id bigint, passed_ts bigint, passed_id bigint, signature string, cleared_ts bigint, cleared_id bigint"
+STATE = "learner_id bigint, project string, region string, " + VALUE
+_NAMES = [part.split()[0] for part in STATE.split(", ")]
+_VARIABLE = "progress"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# The store that keeps state variables by name.
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed(events: DataFrame) -> DataFrame:
+    """The events that change progress, by key; a reset has an empty region."""
+    kept = events.where(F.col("type").isin("visit", "pass_check", "reset"))
+    return kept.select(
+        "learner_id", "project", F.when(F.col("type") == "reset", "").otherwise(F.coalesce("region", F.lit(""))).alias("region"),
+        "type", F.unix_micros("ts").alias("ts"), "event_id", "signature")
 
 
-def reduce_events(events: DataFrame) -> DataFrame:
-    """One row per learner, project and region; a reset has an empty region."""
-    kept = events.where(F.col("type").isin("visit", "pass_check", "reset"))
-    moment = F.struct("ts", "event_id")
-    kind = F.col("type")
-    return kept.withColumn("region", F.when(kind == "reset", "").otherwise(F.col("region"))).groupBy(*KEYS).agg(
-        F.max(F.when(kind == "visit", moment)).alias("visited"),
-        F.max(F.when(kind == "pass_check", F.struct(moment.alias("at"), F.col("signature").alias("signature")))).alias("passed"),
-        F.max(F.when(kind == "reset", moment)).alias("cleared"))
+class Progress(StatefulProcessor):
+    """Keeps the latest visit, pass and reset of its key, and gives the key's row when it changes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState(_VARIABLE, VALUE)
 
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held = tuple(self._state.get()) if self._state.exists() else (None,) * 7
+        before = held
+        visited, passed, cleared = held[0:2], held[2:5], held[5:7]
+        for row in rows:
+            moment = (row.ts, row.event_id)
+            if row.type == "visit":
+                visited = _later(visited, moment)
+            elif row.type == "pass_check":
+                passed = _later(passed, (*moment, row.signature))
+            else:
+                cleared = _later(cleared, moment)
+        after = (*visited, *passed, *cleared)
+        if after != before:
+            self._state.update(after)
+            yield Row(**dict(zip(_NAMES, (*key, *after), strict=True)))
 
-def merge_state(state: DataFrame) -> DataFrame:
-    return state.groupBy(*KEYS).agg(*[F.max(c).alias(c) for c in ("visited", "passed", "cleared")])
+    def close(self) -> None:
+        pass
 
 
-def run(stream: DataFrame, to_log: Callable[[DataFrame], DataFrame], state: str, checkpoint: str):
-    """Start the query: ``to_log`` maps a batch of raw events to the log's shape."""
+def _later(held: tuple, new: tuple) -> tuple:
+    return new if held[0] is None or new[:2] > held[:2] else held
 
-    def write(batch: DataFrame, number: int) -> None:
-        reduce_events(to_log(batch)).write.mode("overwrite").parquet(f"{state}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def changes(events: DataFrame) -> DataFrame:
+    """The stream of changed rows: ``STATE`` after every batch that changed a key."""
+    return keyed(events).groupBy(*KEYS).transformWithState(Progress(), STATE, "update", "none")
 
 
-def read_state(spark: SparkSession, state: str) -> DataFrame:
-    return merge_state(spark.read.schema(STATE).option("recursiveFileLookup", "true").parquet(state))
+def run(events: DataFrame, checkpoint: str, trigger: dict | None = None, sink: str = "noop") -> StreamingQuery:
+    """Start the query on a stream of log events; ``trigger`` is what ``trigger()`` takes, by default all there is and then an end."""
+    conf = events.sparkSession.conf
+    before = conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        writer = changes(events).writeStream.format(sink).outputMode("update").option("checkpointLocation", checkpoint)
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        if before is None:
+            conf.unset(_PROVIDER)
+        else:
+            conf.set(_PROVIDER, before)
 
 
-def compact(spark: SparkSession, state: str, target: str) -> DataFrame:
-    """Fold all batches so far into one table at ``target``."""
-    read_state(spark, state).write.parquet(f"{target}/batch=0")
-    return read_state(spark, target)
+def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The rows of the state store after the last finished batch."""
+    stored = spark.read.format("statestore").option("stateVarName", _VARIABLE).load(checkpoint)
+    return stored.select(*[F.col("key")[n].alias(n) for n in KEYS], *[F.col("value")[n].alias(n) for n in _NAMES[len(KEYS) :]])
 
 
 def view(state: DataFrame, signatures: DataFrame, regions: DataFrame) -> DataFrame:
     """Visited and understood per learner and region, after resets."""
-    resets = state.where(F.col("cleared").isNotNull()).groupBy("learner_id", "project").agg(F.max("cleared").alias("last"))
+    visited, passed, cleared = (F.struct(F.col(f"{n}_ts").alias("ts"), F.col(f"{n}_id").alias("event_id")) for n in ("visited", "passed", "cleared"))
+    resets = state.where(F.col("cleared_ts").isNotNull()).groupBy("learner_id", "project").agg(F.max(cleared).alias("last"))
     current = signatures.select("project", "region", F.col("signature").alias("current"))
-    rows = state.where(F.col("region") != "").drop("cleared").join(resets, ["learner_id", "project"], "left").join(
+    rows = state.where(F.col("region") != "").join(resets, ["learner_id", "project"], "left").join(
         regions.select("project", "region"), ["project", "region"], "left_semi").join(current, ["project", "region"], "left")
     fresh = F.col("last").isNull()
-    seen = F.col("visited").isNotNull() & (fresh | (F.col("visited") > F.col("last")))
-    proved = F.col("passed").isNotNull() & (fresh | (F.col("passed.at") > F.col("last"))) & (F.col("passed.signature") == F.col("current"))
+    seen = F.col("visited_ts").isNotNull() & (fresh | (visited > F.col("last")))
+    proved = F.col("passed_ts").isNotNull() & (fresh | (passed > F.col("last"))) & (F.col("signature") == F.col("current"))
     return rows.select(*KEYS, F.coalesce(seen, F.lit(False)).alias("visited"), F.coalesce(proved, F.lit(False)).alias("understood")).where(
         F.col("visited") | F.col("understood"))

@@ -66,25 +66,48 @@ def test_the_signature_has_one_form_at_every_size(graph, spark):
         assert rows(ops.signatures(nodes, files), "signature") == [(bucketed(names),)]
 
 
-def test_stream_survives_disorder_and_repeats(spark, tmp_path):
-    events, (signatures, regions) = log(spark, *EVENTS), tables(spark)
-    state = str(tmp_path / "state")
-    late, early = events.where("event_id >= 4"), events.where("event_id < 6")
-    for number, batch in enumerate((late, early, late)):
-        stream.reduce_events(batch).write.mode("overwrite").parquet(f"{state}/batch={number}")
-    folded = stream.read_state(spark, state)
-    want = [("b", True, True)]
-    assert rows(stream.view(folded, signatures, regions), "region", "visited", "understood") == want
-    small = stream.compact(spark, state, str(tmp_path / "compact"))
-    assert rows(stream.view(small, signatures, regions), "region", "visited", "understood") == want
-
-
-def test_stream_from_files(spark, tmp_path):
-    events, (signatures, regions) = log(spark, *EVENTS), tables(spark)
-    source = str(tmp_path / "in")
-    events.repartition(3).write.parquet(source)
-    query = stream.run(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source), lambda b: b,
-                       str(tmp_path / "state"), str(tmp_path / "offsets"))
+def stream_of(spark, folder, like):
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def finish(query):
     query.awaitTermination()
-    found = stream.view(stream.read_state(spark, str(tmp_path / "state")), signatures, regions)
-    assert rows(found, "region", "visited", "understood") == [("b", True, True)]
+    assert query.exception() is None
+    return query
+
+
+def test_stream_survives_a_stop_a_repeated_batch_disorder_and_repeats(spark, tmp_path):
+    events, (signatures, regions) = log(spark, *EVENTS), tables(spark)
+    source, checkpoint = tmp_path / "in", str(tmp_path / "state")
+    for k, part in enumerate(("event_id >= 4 AND event_id < 8", "event_id < 3")):
+        events.where(part).coalesce(1).write.parquet(str(source / f"part={k}"))
+    first = finish(stream.run(stream_of(spark, source / "part=*", events), checkpoint))
+    assert first.lastProgress["batchId"] == 1
+    held = stream.read_state(spark, checkpoint)
+    assert rows(held, "region") == [("",), ("a",), ("b",), ("gone",)]
+    # As if the driver had been lost before the last batch was committed: it runs again.
+    for name in ("1", ".1.crc"):
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    for k, part in enumerate(("event_id >= 2", "event_id >= 4"), start=2):
+        events.where(part).coalesce(1).write.parquet(str(source / f"part={k}"))
+    finish(stream.run(stream_of(spark, source / "part=*", events), checkpoint, {"availableNow": True}))
+    folded = stream.read_state(spark, checkpoint)
+    assert rows(stream.view(folded, signatures, regions), "region", "visited", "understood") == [("b", True, True)]
+    # A row per key, not per batch.
+    assert rows(folded, "region") == [("",), ("a",), ("b",), ("gone",)]
+    assert rows(ops.understood(events, signatures), "region") == [("b",)] == rows(ops.visited(events, regions), "region")
+
+
+def test_changes_are_given_once_and_triggers_are_chosen(spark, tmp_path):
+    events = log(spark, *EVENTS)
+    source = tmp_path / "in"
+    for k in range(2):
+        events.coalesce(1).write.parquet(str(source / f"part={k}"))
+    query = stream.run(stream_of(spark, source / "part=*", events), str(tmp_path / "state"), {"processingTime": "1 second"}, "noop")
+    try:
+        query.processAllAvailable()
+        assert query.isActive
+        updated = [sum(o["numRowsUpdated"] for o in p["stateOperators"]) for p in query.recentProgress if p["numInputRows"]]
+        assert sum(updated) == 4
+    finally:
+        query.stop()
