@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.canonical import call_pairs, candidates, internal_edges
-from loomgraph.plans.iterate import expand
-from loomgraph.plans.ranking import ordered_index, top_rows
+from loomgraph.operators.resolve import split_join
+from loomgraph.plans.iterate import COMPACT_EVERY, expand
+from loomgraph.plans.ranking import ordered_index, running_total, top_rows
 from loomgraph.session import cut
 
 # Fixed values of the graph model.
@@ -112,79 +113,111 @@ def rehome(
 
 # ---- blast radius --------------------------------------------------------
 
+def numbered_pairs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``project, id, number`` of every linked node, and ``src, dst, certain`` of the linked pairs by number.
+
+    A pair is certain if any of its edges is. Numbers are unique over all
+    projects and in the order of (project, id), so least and greatest numbers
+    are least and greatest ids, and walks carry eight bytes for a node.
+    """
+    inside = internal_edges(edges, nodes).groupBy("project", "src", "dst").agg(F.bool_or("certain").alias("certain"))
+    inside = cut(inside, "inside")
+    ends = inside.select("project", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    # The table is written, so the numbers stay as they are.
+    ids = cut(ends.orderBy("project", "id").withColumn("number", F.monotonically_increasing_id()), "numbers")
+    pairs = inside.join(ids.select("project", F.col("id").alias("src"), F.col("number").alias("a")), ["project", "src"]).join(
+        ids.select("project", F.col("id").alias("dst"), F.col("number").alias("b")), ["project", "dst"])
+    return ids, cut(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "certain"), "pairs")
+
+
+def _adjacency(pairs: DataFrame, at: str, to: str) -> DataFrame:
+    return pairs.select(F.col(at).alias("node"), F.col(to).alias("to"), "certain")
+
+
 def walk(starts: DataFrame, adjacency: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
-    """Reach within ``max_depth`` for every start, and the starts cut short.
+    """Reach within ``max_depth`` for every ``start``, and the starts cut short.
 
-    ``adjacency(project, at, to, certain)`` has one row per ordered pair, certain
-    if any of its edges is. Each step carries whether the route so far was all
-    certain. A node already seen is walked again only when this step is the
-    first to prove it, so true distance and true certainty come out of one walk.
+    ``adjacency(node, to, certain)`` is a written table with one row per
+    ordered pair. Each step carries whether the route so far was all certain. A
+    node already seen is walked again only when this step is the first to prove
+    it, so true distance and true certainty come out of one walk. Nodes with
+    very many links, or that very many walks have come to, are spread.
     """
-    frontier = starts.select(
-        "project", F.col("id").alias("start"), F.col("id").alias("node"), F.lit(True).alias("proven"))
+    frontier = cut(starts.select("start", F.col("start").alias("node"), F.lit(True).alias("proven")), "starts")
     levels: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
         stepped = (
-            frontier.join(adjacency.withColumnRenamed("at", "node"), ["project", "node"])
+            split_join(frontier, adjacency, ["node"], written=True)
             .where(F.col("to") != F.col("start"))
-            .groupBy("project", "start", F.col("to").alias("node"))
+            .groupBy("start", F.col("to").alias("node"))
             .agg(F.bool_or(F.col("proven") & F.col("certain")).alias("proven"))
         )
         if levels:
-            seen = reduce(DataFrame.unionByName, levels).groupBy("project", "start", "node").agg(
-                F.bool_or("proven").alias("was_proven"))
-            stepped = stepped.join(seen, ["project", "start", "node"], "left").where(
+            seen = reduce(DataFrame.unionByName, levels).groupBy("start", "node").agg(F.bool_or("proven").alias("was_proven"))
+            stepped = stepped.join(seen, ["start", "node"], "left").where(
                 F.col("was_proven").isNull() | (F.col("proven") & ~F.col("was_proven"))
-            ).select("project", "start", "node", "proven")
+            ).select("start", "node", "proven")
         frontier = cut(stepped, "reach")
         levels.append(frontier.withColumn("depth", F.lit(depth)))
-    reached = reduce(DataFrame.unionByName, levels).groupBy("project", "start", "node").agg(
-        F.min("depth").alias("depth"), F.bool_or("proven").alias("certain"))
-    onward = adjacency.select("project", F.col("at").alias("node")).distinct()
-    truncated = (
-        reached.where(F.col("depth") == max_depth)
-        .join(onward, ["project", "node"], "left_semi").select("project", "start").distinct()
-    )
+    reached = cut(reduce(DataFrame.unionByName, levels).groupBy("start", "node").agg(
+        F.min("depth").alias("depth"), F.bool_or("proven").alias("certain")), "reached")
+    onward = adjacency.select("node").distinct()
+    truncated = reached.where(F.col("depth") == max_depth).join(onward, "node", "left_semi").select("start").distinct()
     return reached, truncated
 
 
+def _by_id(rows: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """Numbers replaced by ids, with the project of the last."""
+    for n, column in enumerate(columns):
+        names = ids.select(F.col("number").alias(column), F.col("id").alias("_id"), *(["project"] if n == 0 else []))
+        rows = rows.join(names, column).drop(column).withColumnRenamed("_id", column)
+    return rows
+
+
 def blast_radius(
     starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = BLAST_DEPTH
 ) -> DataFrame:
-    """What each start affects (inbound) and depends on (outbound)."""
-    inside = internal_edges(edges, nodes).groupBy("project", "src", "dst").agg(F.bool_or("certain").alias("certain"))
-    inside = cut(inside, "inside")
-    inbound = inside.select("project", F.col("dst").alias("at"), F.col("src").alias("to"), "certain")
-    outbound = inside.select("project", F.col("src").alias("at"), F.col("dst").alias("to"), "certain")
-    affects, cut_in = walk(starts, inbound, max_depth)
-    depends, cut_out = walk(starts, outbound, max_depth)
+    """What each start ``(project, id)`` affects (inbound) and depends on (outbound)."""
+    ids, pairs = numbered_pairs(nodes, edges)
+    begin = cut(starts.select("project", "id").distinct().join(ids, ["project", "id"]).select(F.col("number").alias("start")), "starts")
+    affects, cut_in = walk(begin, cut(_adjacency(pairs, "dst", "src"), "inbound"), max_depth)
+    depends, cut_out = walk(begin, cut(_adjacency(pairs, "src", "dst"), "outbound"), max_depth)
     rows = affects.withColumn("direction", F.lit("affects")).unionByName(
         depends.withColumn("direction", F.lit("depends_on")))
-    short = cut_in.unionByName(cut_out).distinct().withColumn("truncated", F.lit(True))
-    return rows.join(short, ["project", "start"], "left").select(
-        "project", "start", "direction", "node", "depth", "certain",
-        F.coalesce("truncated", F.lit(False)).alias("truncated"))
+    return _by_id(_marked(rows, cut_in.unionByName(cut_out)), ids, "start", "node").select(
+        "project", "start", "direction", "node", "depth", "certain", "truncated")
 
 
-def blast_radius_all(nodes: DataFrame, edges: DataFrame, max_depth: int = BLAST_DEPTH) -> DataFrame:
-    """``blast_radius`` from every node at once.
+def _marked(rows: DataFrame, short: DataFrame) -> DataFrame:
+    flagged = short.distinct().withColumn("truncated", F.lit(True))
+    return rows.join(flagged, "start", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
-    What a node affects is what depends on it, so one outbound walk from all
-    nodes is read both ways round.
-    """
-    inside = cut(internal_edges(edges, nodes).groupBy("project", "src", "dst").agg(F.bool_or("certain").alias("certain")), "inside")
-    outbound = inside.select("project", F.col("src").alias("at"), F.col("dst").alias("to"), "certain")
-    reached, cut_out = walk(inside.select("project", F.col("src").alias("id")).distinct(), outbound, max_depth)
-    reached = cut(reached, "reach_all")
-    called = inside.select("project", F.col("dst").alias("start")).distinct()
-    cut_in = reached.where(F.col("depth") == max_depth).join(called, ["project", "start"], "left_semi").select(
-        "project", F.col("node").alias("start")).distinct()
+
+def _reach_of_all(pairs: DataFrame, max_depth: int) -> DataFrame:
+    """Reach of every linked node both ways, by number: what a node affects is what depends on it, so one walk is read twice."""
+    outbound = cut(_adjacency(pairs, "src", "dst"), "outbound")
+    reached, cut_out = walk(outbound.select(F.col("node").alias("start")).distinct(), outbound, max_depth)
+    called = pairs.select(F.col("dst").alias("start")).distinct()
+    cut_in = reached.where(F.col("depth") == max_depth).join(called, "start", "left_semi").select(F.col("node").alias("start")).distinct()
     rows = reached.withColumn("direction", F.lit("depends_on")).unionByName(reached.select(
-        "project", F.col("node").alias("start"), F.col("start").alias("node"), "depth", "certain", F.lit("affects").alias("direction")))
-    short = cut_in.unionByName(cut_out).distinct().withColumn("truncated", F.lit(True))
-    return rows.join(short, ["project", "start"], "left").select(
-        "project", "start", "direction", "node", "depth", "certain",
-        F.coalesce("truncated", F.lit(False)).alias("truncated"))
+        F.col("node").alias("start"), F.col("start").alias("node"), "depth", "certain", F.lit("affects").alias("direction")))
+    return _marked(rows, cut_in.unionByName(cut_out))
+
+
+def blast_radius_all(nodes: DataFrame, edges: DataFrame, max_depth: int = BLAST_DEPTH) -> DataFrame:
+    """``blast_radius`` from every node at once; its rows grow with the pairs within ``max_depth`` steps."""
+    ids, pairs = numbered_pairs(nodes, edges)
+    return _by_id(_reach_of_all(pairs, max_depth), ids, "start", "node").select(
+        "project", "start", "direction", "node", "depth", "certain", "truncated")
+
+
+def blast_summary_all(nodes: DataFrame, edges: DataFrame, max_depth: int = BLAST_DEPTH) -> DataFrame:
+    """The same counted per start, direction, depth and certainty, with the first and last node by id; only those are named."""
+    ids, pairs = numbered_pairs(nodes, edges)
+    counts = _reach_of_all(pairs, max_depth).groupBy("start", "direction", "depth", "certain", "truncated").agg(
+        F.count("*").alias("reached"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
+    return _by_id(counts, ids, "start", "first_node", "last_node").select(
+        "project", "start", "direction", "depth", "certain", "truncated", "reached", "first_node", "last_node")
 
 
 def cite(rows: DataFrame, nodes: DataFrame, column: str = "node") -> DataFrame:
@@ -258,66 +291,94 @@ def orbit_plan(layers: DataFrame) -> DataFrame:
 
 # ---- cycles and layers of imports ----------------------------------------
 
-def _trim(links: DataFrame) -> DataFrame:
-    """Drop links that cannot be on a cycle: a source nobody reaches, or a sink."""
-    targets = links.select("project", F.col("dst").alias("src")).distinct()
-    sources = links.select("project", F.col("src").alias("dst")).distinct()
-    return links.join(targets, ["project", "src"], "left_semi").join(sources, ["project", "dst"], "left_semi")
+def _heads(links: DataFrame) -> DataFrame:
+    """``project, id, head`` of every node that has one predecessor: the first above it that has none or several.
+
+    Pointer jumping: every node points to its predecessor, and then again and
+    again to what the node it points to points to, so chains take rounds in the
+    logarithm of their length. Nodes that a ring of such nodes leads to have no
+    head. Only pointers that moved are written and followed.
+    """
+    above = cut(
+        links.groupBy("project", F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("up"))
+        .where(F.col("n") == 1).select("project", "id", "up"), "pointers")
+    ended: list[DataFrame] = []
+    moving, limit = above, max(1, above.count()).bit_length() + 2
+    for _ in range(limit):
+        every = reduce(DataFrame.unionByName, [moving, *ended]).select("project", F.col("id").alias("up"), F.col("up").alias("further"))
+        jumped = cut(moving.join(every, ["project", "up"], "left"), "jumped")
+        ended.append(jumped.where(F.col("further").isNull()).select("project", "id", "up"))
+        moving = jumped.where(F.col("further").isNotNull()).select("project", "id", F.col("further").alias("up"))
+        if moving.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, ended).withColumnRenamed("up", "head")
+
+
+def _without_trees(links: DataFrame) -> DataFrame:
+    """Drop links that cannot be on a cycle: those of sources, and of what only a source leads to, however far."""
+    sources = links.select("project", F.col("src").alias("id")).distinct().join(
+        links.select("project", F.col("dst").alias("id")).distinct(), ["project", "id"], "left_anti")
+    hung = _heads(links).join(sources.withColumnRenamed("id", "head"), ["project", "head"], "left_semi").select("project", "id")
+    dead = cut(sources.unionByName(hung), "dead")
+    return cut(links.join(dead.withColumnRenamed("id", "src"), ["project", "src"], "left_anti"), "links")
+
+
+def _turned(links: DataFrame) -> DataFrame:
+    return links.select("project", F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def components(region_edges: DataFrame, trims: int = 3) -> DataFrame:
+def least_reaching(links: DataFrame) -> DataFrame:
+    """``project, id, label``: the smallest id that reaches each node along the links, its own included.
+
+    Labels travel along links, and jump: what reaches a node's label reaches
+    the node. So windows double, and rounds grow with the logarithm of the
+    longest path where ids lie along it in any order. Every round writes and
+    sends on only the labels that moved.
+    """
+    ends = links.select("project", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    labels = [cut(ends.withColumn("label", F.col("id")), "labels")]
+    moved = labels[0]
+
+    def current(more: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, labels + more).groupBy("project", "id").agg(F.min("label").alias("label"))
+
+    while True:
+        offered = moved.select("project", F.col("id").alias("src"), "label").join(links, ["project", "src"]).groupBy(
+            "project", F.col("dst").alias("id")).agg(F.min("label").alias("offer"))
+        lower = cut(current([]).join(offered, ["project", "id"]).where(F.col("offer") < F.col("label")).select(
+            "project", "id", F.col("offer").alias("label")), "offers")
+        if lower.isEmpty():
+            return current([])
+        ahead = current([lower]).select("project", F.col("id").alias("label"), F.col("label").alias("further"))
+        moved = cut(lower.join(ahead, ["project", "label"]).select("project", "id", F.least("label", "further").alias("label")), "labels")
+        labels.append(moved)
+        if len(labels) > COMPACT_EVERY:
+            labels[:] = [cut(current([]), "labels")]
+
+
+def components(region_edges: DataFrame) -> DataFrame:
     """Members of every strongly connected component of two or more regions.
 
-    Each round trims acyclic fringes, spreads the smallest reaching id forward
-    until it settles, and takes as one component whatever reaches, inside one
-    label, the region that carries its own id. What is left keeps only links
-    inside a label, since no cycle crosses labels.
+    Each round drops what hangs off sources and sinks, and finds for every
+    region the smallest id that reaches it, and the smallest that it reaches
+    over regions of the same label. Where both are one region, that region's
+    component is whole. All members of a component share both labels, so only
+    links inside equal labels go on.
     """
-    links = region_edges.where(F.col("src") != F.col("dst")).select("project", "src", "dst").distinct()
+    links = cut(region_edges.where(F.col("src") != F.col("dst")).select("project", "src", "dst").distinct(), "links")
     found: list[DataFrame] = []
     while True:
-        for _ in range(trims):
-            links = _trim(links)
-        links = cut(links, "links")
+        links = _turned(_without_trees(_turned(_without_trees(links))))
         if links.isEmpty():
             break
-        ends = links.select("project", F.explode(F.array("src", "dst")).alias("id")).distinct()
-        labels = cut(ends.select("project", "id", F.col("id").alias("label")), "labels")
-        changed = labels
-        while True:
-            offered = (
-                changed.select("project", F.col("id").alias("src"), "label")
-                .join(links, ["project", "src"])
-                .groupBy("project", F.col("dst").alias("id")).agg(F.min("label").alias("offer"))
-            )
-            moved = cut(
-                labels.join(offered, ["project", "id"], "left").select(
-                    "project", "id", F.least("label", "offer").alias("label"),
-                    F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("moved")),
-                "labels")
-            changed = moved.where("moved").select("project", "id", "label")
-            labels = moved.select("project", "id", "label")
-            if changed.isEmpty():
-                break
-        same = cut(
-            links.join(labels.select("project", F.col("id").alias("src"), "label"), ["project", "src"])
-            .join(labels.select("project", F.col("id").alias("dst"), F.col("label").alias("to_label")), ["project", "dst"])
-            .where(F.col("label") == F.col("to_label")).select("project", "src", "dst", "label"),
-            "same_label")
-
-        def back(frontier: DataFrame, number: int, same: DataFrame = same) -> DataFrame:
-            return frontier.select("project", F.col("region").alias("dst"), F.col("component").alias("label")).join(
-                same, ["project", "dst", "label"]
-            ).select("project", F.col("src").alias("region"), F.col("label").alias("component")).distinct()
-
-        roots = labels.where(F.col("id") == F.col("label")).select(
-            "project", F.col("id").alias("region"), F.col("label").alias("component"))
-        members = cut(expand(roots, back, ["project", "region"]), "members")
-        found.append(members)
-        done = members.select("project", "region")
-        links = same.select("project", "src", "dst").join(
-            done.withColumnRenamed("region", "src"), ["project", "src"], "left_anti"
-        ).join(done.withColumnRenamed("region", "dst"), ["project", "dst"], "left_anti")
+        reached = cut(least_reaching(links), "reached")
+        same = cut(_inside_label(links, reached), "same")
+        back = least_reaching(_turned(same)).withColumnRenamed("label", "least")
+        both = cut(reached.join(back, ["project", "id"], "left").select(
+            "project", "id", "label", F.coalesce("least", "id").alias("least")), "both")
+        found.append(both.where(F.col("label") == F.col("least")).select("project", F.col("id").alias("region"), F.col("label").alias("component")))
+        left = both.where(F.col("label") != F.col("least")).select("project", "id", F.col("least").alias("label"))
+        links = cut(_inside_label(same, left), "links")
     if not found:
         return region_edges.limit(0).select("project", F.col("src").alias("region"), F.col("dst").alias("component"))
     whole = reduce(DataFrame.unionByName, found)
@@ -325,6 +386,15 @@ def components(region_edges: DataFrame, trims: int = 3) -> DataFrame:
     return whole.join(sizes, ["project", "component"], "left_semi").select("project", "region", "component")
 
 
+def _inside_label(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between two nodes of one label."""
+    return (
+        links.join(labels.select("project", F.col("id").alias("src"), "label"), ["project", "src"])
+        .join(labels.select("project", F.col("id").alias("dst"), F.col("label").alias("to_label")), ["project", "dst"])
+        .where(F.col("label") == F.col("to_label")).select("project", "src", "dst")
+    )
+
+
 def _component_of(regions: DataFrame, membership: DataFrame) -> DataFrame:
     return regions.select("project", "region").join(membership, ["project", "region"], "left").select(
         "project", "region", F.coalesce("component", "region").alias("component"))
@@ -395,42 +465,85 @@ def workflow_children(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return defines.unionByName(calls)
 
 
+def tree_intervals(tree: DataFrame) -> DataFrame:
+    """``project, id, entry, exit`` of the nodes of trees ``(project, id, parent)``: a node's interval holds its descendants'.
+
+    Sizes of subtrees and sums along the way to the root come from pointer
+    jumping, so rounds grow with the logarithm of the depth. Siblings follow
+    one another by id; their places are differences of one running total, so a
+    parent of very many is not held in one task.
+    """
+
+    def jumped(state: DataFrame, update) -> DataFrame:
+        """Follow ``up`` by doubling until every node is past its root; ``update`` gets each round's nodes and their pointers."""
+        while True:
+            ahead = state.select("project", F.col("id").alias("up"), F.col("up").alias("further"), F.col("sum").alias("ahead"))
+            state = cut(update(state, ahead), "intervals")
+            if state.where(F.col("up").isNotNull()).isEmpty():
+                return state
+
+    def gathered(state: DataFrame, ahead: DataFrame) -> DataFrame:
+        """Below a node by less than twice as far: what was below it, and what is below those that point to it."""
+        gains = state.where(F.col("up").isNotNull()).groupBy("project", F.col("up").alias("id")).agg(F.sum("sum").alias("gain"))
+        return state.join(gains, ["project", "id"], "left").join(ahead.drop("ahead"), ["project", "up"], "left").select(
+            "project", "id", F.col("further").alias("up"), (F.col("sum") + F.coalesce("gain", F.lit(0))).alias("sum"))
+
+    def added(state: DataFrame, ahead: DataFrame) -> DataFrame:
+        return state.join(ahead, ["project", "up"], "left").select(
+            "project", "id", F.col("further").alias("up"), (F.col("sum") + F.coalesce("ahead", F.lit(0))).alias("sum"))
+
+    ones = tree.select("project", "id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("sum"))
+    sizes = jumped(ones, gathered).select("project", "id", F.col("sum").alias("size"))
+    children = tree.where(F.col("parent").isNotNull()).select("project", "id", "parent").join(sizes, ["project", "id"])
+    placed = running_total(children, [F.col(c) for c in ("project", "parent", "id")], "size", "until").withColumn("before", F.col("until") - F.col("size"))
+    placed = cut(placed, "siblings")
+    first = placed.groupBy("project", "parent").agg(F.min("before").alias("first"))
+    offsets = placed.join(first, ["project", "parent"]).select(
+        "project", "id", F.col("parent").alias("up"), (1 + F.col("before") - F.col("first")).alias("sum"))
+    roots = tree.where(F.col("parent").isNull()).select("project", "id", "parent", F.lit(0).cast("long").alias("sum")).withColumnRenamed("parent", "up")
+    entries = jumped(offsets.unionByName(roots), added)
+    return entries.join(sizes, ["project", "id"]).select(
+        "project", "id", F.col("sum").alias("entry"), (F.col("sum") + F.col("size") - 1).alias("exit"))
+
+
 def workflow(nodes: DataFrame, edges: DataFrame, homes: DataFrame) -> DataFrame:
     """Rows of the expansion from home, breadth first.
 
     A node is placed once, under the parent whose path comes first at its least
     depth. Every other row for it is cut: ``cycle`` when it is an ancestor of the
-    parent, ``repeat`` otherwise.
+    parent, ``repeat`` otherwise. Paths of one depth are ordered by the rank of
+    the parent's path and then the id, so a rank stands for the path. Whether a
+    node is an ancestor is asked once, of the whole tree's intervals.
     """
     children = cut(workflow_children(nodes, edges), "children")
+    none = F.lit(None).cast("string")
     frontier = cut(homes.where(F.col("home").isNotNull()).select(
-        "project", F.col("home").alias("id"), F.array("home").alias("path")), "flow")
-    rows = [frontier.select(
-        "project", "id", F.lit(None).cast("string").alias("parent"), F.lit("root").alias("relation"),
-        F.lit(True).alias("certain"), F.lit(None).cast("string").alias("cut"), F.lit(0).alias("depth"))]
-    placed = [frontier.select("project", "id")]
-    depth = 0
+        "project", F.col("home").alias("id"), none.alias("parent"), F.lit(0).cast("long").alias("rank")), "flow")
+    placed, offers = [frontier], []
     while not frontier.isEmpty():
-        depth += 1
-        offered = frontier.select("project", F.col("id").alias("parent"), "path").join(
-            children, ["project", "parent"]
-        ).withColumn("loops", F.array_contains("path", F.col("child")))
-        before = reduce(DataFrame.unionByName, placed).select("project", F.col("id").alias("child"), F.lit(True).alias("old"))
-        offered = cut(offered.join(before, ["project", "child"], "left"), "offered")
-        fresh = ~F.col("loops") & F.col("old").isNull()
-        winners = offered.where(fresh).groupBy("project", "child").agg(
-            F.min(F.struct("path", "parent")).alias("win"))
-        frontier = cut(winners.select(
-            "project", F.col("child").alias("id"), F.concat("win.path", F.array("child")).alias("path"),
-            F.col("win.parent").alias("parent")), "flow")
-        chosen = frontier.select("project", F.col("id").alias("child"), "parent", F.lit(True).alias("won"))
-        rows.append(offered.join(chosen, ["project", "child", "parent"], "left").select(
-            "project", F.col("child").alias("id"), "parent", "relation", "certain",
-            F.when(F.col("loops"), "cycle").when(F.col("won"), F.lit(None)).otherwise("repeat").alias("cut"),
-            F.lit(depth).alias("depth")))
-        placed.append(frontier.select("project", "id"))
-        frontier = frontier.select("project", "id", "path")
-    return reduce(DataFrame.unionByName, rows)
+        offered = cut(frontier.select("project", F.col("id").alias("parent"), "rank").join(children, ["project", "parent"]), "offered")
+        offers.append(offered.select("project", "parent", "child", "relation", "certain", F.lit(len(placed)).alias("depth")))
+        before = reduce(DataFrame.unionByName, placed).select("project", F.col("id").alias("child"))
+        winners = offered.join(before, ["project", "child"], "left_anti").groupBy("project", F.col("child").alias("id")).agg(
+            F.min(F.struct("rank", "parent")).alias("win"))
+        ranked = ordered_index(winners.select("project", "id", F.col("win.parent").alias("parent"), F.col("win.rank").alias("up")),
+                               ["project"], [F.col("up"), F.col("id")], "rank")
+        frontier = cut(ranked.select("project", "id", "parent", "rank"), "flow")
+        placed.append(frontier)
+    tree = cut(reduce(DataFrame.unionByName, placed).select("project", "id", "parent"), "tree")
+    roots = tree.where(F.col("parent").isNull()).select(
+        "project", "id", "parent", F.lit("root").alias("relation"), F.lit(True).alias("certain"), none.alias("cut"), F.lit(0).alias("depth"))
+    if not offers:
+        return roots
+    spans = cut(tree_intervals(tree), "spans")
+    child = spans.join(tree, ["project", "id"]).select(
+        "project", F.col("id").alias("child"), F.col("parent").alias("under"), F.col("entry").alias("child_entry"), F.col("exit").alias("child_exit"))
+    judged = reduce(DataFrame.unionByName, offers).join(child, ["project", "child"]).join(
+        spans.select("project", F.col("id").alias("parent"), "entry"), ["project", "parent"])
+    loops = F.col("entry").between(F.col("child_entry"), F.col("child_exit"))
+    return roots.unionByName(judged.select(
+        "project", F.col("child").alias("id"), "parent", "relation", "certain",
+        F.when(loops, "cycle").when(F.col("under") == F.col("parent"), none).otherwise("repeat").alias("cut"), "depth"))
 
 
 def unreached_nodes(nodes: DataFrame, flow: DataFrame) -> DataFrame:

@@ -70,15 +70,17 @@ def heavy_names(rows: DataFrame, named: DataFrame, on: list[str], most: int = SP
     return sizes.where(above).select(*on, cells.alias("cells"), (F.col("asked") >= F.col("given")).alias("split_rows"))
 
 
-def split_join(rows: DataFrame, named: DataFrame, on: list[str], most: int = SPREAD_NAMES) -> DataFrame:
+def split_join(rows: DataFrame, named: DataFrame, on: list[str], most: int = SPREAD_NAMES, written: bool = False) -> DataFrame:
     """``rows`` joined with ``named``, both having the name columns ``on``, and names common on either side spread.
 
     All matches are given. The larger side of a heavy name is cut into cells by
     hash, and the smaller one is copied to each, so that no task gets a name
     whole; a cell holds no more copies than it gives matches. Rows of heavy
-    names that the other side lacks are left out first.
+    names that the other side lacks are left out first. ``written`` says that
+    both sides are stored tables, which need not be written again to be read twice.
     """
-    rows, named = cut(rows, "asked"), cut(named, "named")
+    if not written:
+        rows, named = cut(rows, "asked"), cut(named, "named")
     # Fewer than 3 * most rows.
     heavy = F.broadcast(cut(heavy_names(rows, named, on, most), "heavy"))
 

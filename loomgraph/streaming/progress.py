@@ -32,7 +32,7 @@ def keyed(events: DataFrame) -> DataFrame:
     kept = events.where(F.col("type").isin("visit", "pass_check", "reset"))
     return kept.select(
         "learner_id", "project", F.when(F.col("type") == "reset", "").otherwise(F.coalesce("region", F.lit(""))).alias("region"),
-        "type", F.unix_micros("ts").alias("ts"), "event_id", "signature")
+        "type", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "event_id", "signature")
 
 
 class Progress(StatefulProcessor):

@@ -93,7 +93,7 @@ def brute_components(names, links):
     return {n: min(m for m in names if m in after[n] and n in after[m]) for n in names}, after
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_cycles_and_layers_against_brute_force(graph, seed):
     picks = random.Random(seed)
     names = [f"n{i:02d}" for i in range(18)]
@@ -115,6 +115,121 @@ def test_cycles_and_layers_against_brute_force(graph, seed):
     assert found == {n: (layer[component[n]], True) for n in names}
 
 
+def linked(spark, links):
+    return spark.createDataFrame([("p", a, b) for a, b in links], "project string, src string, dst string")
+
+
+def counting(monkeypatch, *labels):
+    """Counts the tables that a loop writes under the given names."""
+    seen = dict.fromkeys(labels, 0)
+    write = ops.cut
+
+    def cut(df, label="step"):
+        seen[label] = seen.get(label, 0) + 1
+        return write(df, label)
+
+    monkeypatch.setattr(ops, "cut", cut)
+    return seen
+
+
+def test_long_chains_and_rings_end_in_logarithmic_rounds(spark, monkeypatch):
+    names = [f"n{i:04d}" for i in range(1000)]
+    random.Random(3).shuffle(names)
+    seen = counting(monkeypatch, "jumped", "offers")
+    assert ops.components(linked(spark, list(zip(names, names[1:])))).count() == 0
+    # 1,000 is 2^10: about a round for each doubling.
+    assert seen["jumped"] <= 14 and seen["offers"] == 0
+    found = ops.components(linked(spark, list(zip(names, names[1:] + names[:1]))))
+    assert rows(found.select("component").distinct()) == [("n0000",)] and found.count() == 1000
+    assert seen["offers"] <= 2 * 14
+
+
+def test_a_star_leaves_no_hot_task(spark, graph):
+    from loomgraph.operators.resolve import split_join
+
+    pairs = spark.range(100_000).selectExpr("id + 1 AS src", "0L AS dst", "true AS certain").union(spark.createDataFrame([(0, -1, True)], "src long, dst long, certain boolean"))
+    outbound = ops.cut(ops._adjacency(pairs, "src", "dst"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # All have come to the middle, which goes on to one.
+        frontier = ops.cut(spark.range(100_000).selectExpr("id + 1 AS start", "0L AS node", "true AS proven"))
+        for rows_, links in ((frontier, outbound), (ops.cut(frontier.limit(1)), ops.cut(ops._adjacency(pairs.where("dst = 0"), "dst", "src")))):
+            sizes = sorted(r["count"] for r in split_join(rows_, links, ["node"], written=True).groupBy(F.spark_partition_id()).count().collect())
+            assert sum(sizes) == 100_000 and len(sizes) == 16 and sizes[-1] <= 3 * sizes[8]
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    reached, short = ops.walk(spark.createDataFrame([(5,), (6,)], "start long"), outbound, 3)
+    assert rows(reached, "start", "node", "depth") == [(5, -1, 2), (5, 0, 1), (6, -1, 2), (6, 0, 1)] and short.count() == 0
+
+
+def test_blast_from_all_nodes_is_that_from_each(graph):
+    picks = random.Random(8)
+    names = [f"n{i:02d}" for i in range(14)]
+    nodes, edges = graph([(n, "module", n) for n in names], [
+        (picks.choice(names), picks.choice(names), "call", picks.random() < 0.5, i) for i in range(22)])
+    each = ops.blast_radius(nodes.select("project", "id"), nodes, edges)
+    everywhere = ops.blast_radius_all(nodes, edges)
+    assert rows(each) == rows(everywhere.select(*each.columns))
+    summary = each.groupBy("project", "start", "direction", "depth", "certain", "truncated").agg(
+        F.count("*").alias("reached"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
+    assert rows(summary) == rows(ops.blast_summary_all(nodes, edges))
+
+
+def test_intervals_hold_those_of_all_descendants(spark, monkeypatch):
+    picks = random.Random(4)
+    parent = {"q": None, "r": None}
+    for i in range(60):
+        parent[f"n{i:02d}"] = picks.choice(sorted(parent)) if i % 2 else list(parent)[-1]
+    seen = counting(monkeypatch, "intervals")
+    spans = {r.id: (r.entry, r.exit) for r in ops.tree_intervals(spark.createDataFrame(
+        [("p" if n != "q" else "o", n, u) for n, u in parent.items() if u != "q"], "project string, id string, parent string")).collect()}
+
+    def above(n):
+        return [] if n is None else [n, *above(parent[n])]
+
+    kept = [n for n in parent if "q" not in above(n)]
+    for a in kept:
+        for b in kept:
+            assert (spans[a][0] <= spans[b][0] <= spans[a][1]) == (a in above(b))
+    deepest = max(len(above(n)) for n in kept)
+    assert seen["intervals"] <= 2 * (deepest.bit_length() + 1)
+
+
+def brute_workflow(children, home):
+    """Breadth first with whole paths."""
+    out, placed, frontier, depth = [(home, None, None, 0)], {home}, {home: (home,)}, 0
+    while frontier:
+        depth += 1
+        offers = [(path, parent, child) for parent, path in frontier.items() for child in children.get(parent, ())]
+        fresh = {}
+        for path, parent, child in sorted(offers):
+            if child not in placed and child not in fresh:
+                fresh[child] = (path + (child,), parent)
+        for path, parent, child in offers:
+            out.append((child, parent, "cycle" if child in path else None if fresh.get(child, (0, 0))[1] == parent else "repeat", depth))
+        placed |= set(fresh)
+        frontier = {child: path for child, (path, _) in fresh.items()}
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("deep", [False, True])
+def test_workflow_matches_paths(graph, deep):
+    picks = random.Random(6)
+    names = [f"m.f{i:02d}" for i in range(24)]
+    calls = {(picks.choice(names), picks.choice(names)) for _ in range(50)} if not deep else set(zip(names, names[1:])) | {(names[-1], names[3]), (names[9], names[20])}
+    calls = {(a, b) for a, b in calls if a != b}
+    nodes, edges = graph([("m", "module", "m", "m.py", 0)] + [(n, "function", "m") for n in names], [(a, b, "call", b != names[0]) for a, b in calls])
+    sure = {b for a, b in calls if b != names[0]}
+    children = {"m": sorted(n for n in names if n not in sure)}
+    for a, b in sorted(calls):
+        children.setdefault(a, []).append(b)
+    flow = ops.workflow(nodes, edges, canonical.home_select(nodes))
+    assert "array" not in str(flow.dtypes) and rows(flow, "id", "parent", "cut", "depth") == brute_workflow(children, "m")
+
+
 def test_workflow_places_each_node_once(graph, spark):
     nodes, edges = graph(
         [("m", "module", "m", "m.py", 0)] + [(f"m.{n}", "function", "m") for n in ("a", "b", "c")] + [("lost", "module", "lost")],
