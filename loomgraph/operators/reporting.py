@@ -58,6 +58,41 @@ def focus_files(files: DataFrame, nodes: DataFrame, language: str) -> DataFrame:
     return files.join(kept, ["project", "file"], "left_semi").select(*files.columns)
 
 
+def focus_candidates(candidate_rows: DataFrame, nodes: DataFrame, language: str) -> DataFrame:
+    """Entry candidates that are nodes of the language."""
+    kept = focus_nodes(nodes, language).select("project", "id")
+    return candidate_rows.join(kept, ["project", "id"], "left_semi").select(*candidate_rows.columns)
+
+
+def focus_home(homes: DataFrame, nodes: DataFrame, language: str) -> DataFrame:
+    """The chosen home of every project, or NULL where it is of another language."""
+    kept = focus_nodes(nodes, language).select("project", F.col("id").alias("home"), F.lit(True).alias("kept"))
+    return homes.join(kept, ["project", "home"], "left").select("project", F.when(F.col("kept"), F.col("home")).alias("home"))
+
+
+def partial_files(nodes: DataFrame) -> DataFrame:
+    return nodes.where("partial").select("project", "file").distinct()
+
+
+def focus_boxes(boxes: DataFrame, regions: DataFrame, language: str) -> DataFrame:
+    """Map boxes whose own region is of the language; what survives keeps its place."""
+    kept = regions.where(F.col("language") == language).select("project", "region")
+    return boxes.join(kept, ["project", "region"], "left_semi").select(*boxes.columns)
+
+
+def focus_box_edges(region_edges: DataFrame, regions: DataFrame, language: str) -> DataFrame:
+    """Map edges between two boxes that are kept."""
+    kept = regions.where(F.col("language") == language).select("project", "region")
+    return region_edges.join(kept.withColumnRenamed("region", "src"), ["project", "src"], "left_semi").join(
+        kept.withColumnRenamed("region", "dst"), ["project", "dst"], "left_semi").select(*region_edges.columns)
+
+
+def focus_rows(rows: DataFrame, nodes: DataFrame, language: str) -> DataFrame:
+    """Rows by node id (of the expansion, or of what it leaves out) whose node is of the language; parents may be gone."""
+    kept = focus_nodes(nodes, language).select("project", "id")
+    return rows.join(kept, ["project", "id"], "left_semi").select(*rows.columns)
+
+
 def language_options(regions: DataFrame) -> DataFrame:
     """Regions per language, and a total row named ``all``."""
     return regions.rollup("project", "language").agg(

@@ -201,11 +201,17 @@ def ground(responses: DataFrame, excerpt_rows: DataFrame, neighbor_rows: DataFra
     A response that cites a line outside its excerpt or a neighbour the graph
     does not have is rejected with a reason. A malformed, empty or too long item
     only counts as withheld. Where a node has no excerpt, its own lines bound what may be cited.
+    A sound verdict carries the summary's citation and the excerpt's bounds: its first and last line, how many
+    lines the whole has, and whether lines were left out. Excerpts without ``total`` and ``truncated`` are whole.
     """
     spans = nodes.select("project", F.col("id").alias("node"), F.col("file").alias("f"), F.col("lineno").alias("a"), F.col("end_lineno").alias("b"))
-    shown = excerpt_rows.select("project", F.col("id").alias("node"), "file", "first", "last")
+    length = (F.col("last") - F.col("first") + 1).cast("int")
+    whole = excerpt_rows if "total" in excerpt_rows.columns else excerpt_rows.withColumns({"total": length, "truncated": F.lit(False)})
+    shown = whole.select("project", F.col("id").alias("node"), "file", "first", "last", F.col("total").cast("int").alias("total"), "truncated")
     parsed = parse_responses(responses).join(shown, ["project", "node"], "left").join(spans, ["project", "node"], "left").withColumns({
-        "file": F.coalesce("file", "f"), "first": F.coalesce("first", "a"), "last": F.coalesce("last", "b")}).drop("f", "a", "b")
+        "citation": F.concat("f", F.lit(":"), F.col("a").cast("string")),
+        "file": F.coalesce("file", "f"), "first": F.coalesce("first", "a"), "last": F.coalesce("last", "b")}).drop("f", "a", "b").withColumns({
+        "total": F.coalesce("total", length), "truncated": F.coalesce("truncated", F.lit(False))})
     steps = _items(parsed, "walkthrough").join(parsed.select("response_id", "file", "first", "last"), "response_id")
     line = F.try_variant_get("item", "$.line", "variant")
     number = F.when(F.schema_of_variant(line) == "BIGINT", F.try_variant_get("item", "$.line", "bigint"))
@@ -233,9 +239,10 @@ def ground(responses: DataFrame, excerpt_rows: DataFrame, neighbor_rows: DataFra
         F.when(F.col("doc").isNull(), "not a JSON object").when(summary.isNull(), "no usable summary")
         .when(F.col("outside"), "line outside the excerpt").when(F.col("unknown"), "unknown neighbor").alias("reason"),
         summary.alias("summary"),
-        (F.coalesce("bad_steps", F.lit(0)) + F.coalesce("bad_links", F.lit(0)) + _odd_list("walkthrough") + _odd_list("relationships")).alias("withheld"))
-    verdicts = verdicts.select("response_id", "project", "node", "reason", F.when(F.col("reason").isNull(), F.col("summary")).alias("summary"),
-                               F.when(F.col("reason").isNull(), F.col("withheld")).alias("withheld"))
+        (F.coalesce("bad_steps", F.lit(0)) + F.coalesce("bad_links", F.lit(0)) + _odd_list("walkthrough") + _odd_list("relationships")).alias("withheld"),
+        "citation", "first", "last", "total", "truncated")
+    verdicts = verdicts.select("response_id", "project", "node", "reason", *[
+        F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in ("summary", "citation", "withheld", "first", "last", "total", "truncated")])
     sound = verdicts.where(F.col("reason").isNull()).select("response_id")
     walkthrough = steps.where(F.col("line").isNotNull() & F.col("text").isNotNull()).join(sound, "response_id", "left_semi").select(
         "response_id", "n", "line", F.concat("file", F.lit(":"), F.col("line").cast("string")).alias("citation"), "text")

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import progress, reporting as ops
-from loomgraph.operators.analytics import import_layers
+from loomgraph.operators.analytics import import_layers, unreached_nodes, unreached_regions
+from loomgraph.operators.canonical import candidates
+from loomgraph.plans import views
 from loomgraph.plans.oracle_base import (
     CANDIDATES, CENTRAL, CONCEPT_ROWS, EDGES, FILES, HOPS, NEIGHBORS, NODES, PROGRESS, REGION_EDGES, REGIONS,
     SIGNATURES, with_tables,
 )
-from loomgraph.plans.queries.analytics import _CYCLES, _IMPORT_LAYERS, COMMUNITIES
+from loomgraph.plans.queries.analytics import _CYCLES, _IMPORT_LAYERS, _workflow, COMMUNITIES
 from loomgraph.plans.warehouse import Warehouse
+from loomgraph.sources.corpus import unsupported_tally
 
 LANGUAGE = "typescript"
 
@@ -41,10 +44,52 @@ def l1_focus_files(spark: SparkSession, folder: str) -> DataFrame:
     return ops.focus_files(w.files, w.nodes, LANGUAGE)
 
 
+def l1_focus_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Of Go, as no TypeScript module is a candidate here."""
+    w = Warehouse(spark, folder)
+    return ops.focus_candidates(candidates(w.nodes).select("project", "id"), w.nodes, "go")
+
+
+def l1_focus_home(spark: SparkSession, folder: str) -> DataFrame:
+    """Under every language: homes are of one, so other foci have none."""
+    w = Warehouse(spark, folder)
+    return ops.focus_home(w.homes, w.nodes, "python").withColumn("focus", F.lit("python")).unionByName(
+        ops.focus_home(w.homes, w.nodes, LANGUAGE).withColumn("focus", F.lit(LANGUAGE)))
+
+
+def l1_focus_partial_files(spark: SparkSession, folder: str) -> DataFrame:
+    w = Warehouse(spark, folder)
+    return ops.focus_files(ops.partial_files(w.nodes), w.nodes, LANGUAGE)
+
+
+def _layers(w: Warehouse) -> DataFrame:
+    return import_layers(w.regions, w.region_edges, w.components)
+
+
 def l1_focus_map(spark: SparkSession, folder: str) -> DataFrame:
     """Map boxes keep their layer; only other languages' boxes go."""
     w = Warehouse(spark, folder)
-    return ops.focus_regions(import_layers(w.regions, w.region_edges, w.components), w.nodes, LANGUAGE)
+    return ops.focus_boxes(_layers(w), w.regions, LANGUAGE)
+
+
+def l1_focus_map_edges(spark: SparkSession, folder: str) -> DataFrame:
+    w = Warehouse(spark, folder)
+    return ops.focus_box_edges(w.region_edges, w.regions, LANGUAGE).select("project", "src", "dst", "weight")
+
+
+def l1_focus_map_unreachable(spark: SparkSession, folder: str) -> DataFrame:
+    w = Warehouse(spark, folder)
+    return ops.focus_boxes(unreached_regions(_layers(w)), w.regions, LANGUAGE)
+
+
+def l1_focus_workflow(spark: SparkSession, folder: str) -> DataFrame:
+    w = Warehouse(spark, folder)
+    return ops.focus_rows(w.workflow, w.nodes, LANGUAGE)
+
+
+def l1_focus_workflow_unreachable(spark: SparkSession, folder: str) -> DataFrame:
+    w = Warehouse(spark, folder)
+    return ops.focus_rows(unreached_nodes(w.nodes, w.workflow), w.nodes, LANGUAGE)
 
 
 def l2_language_options(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,7 +107,7 @@ def l3_concept_chart(spark: SparkSession, folder: str) -> DataFrame:
 
 def l4_project_overview(spark: SparkSession, folder: str) -> DataFrame:
     w = Warehouse(spark, folder)
-    return ops.project_overview(w.regions, w.nodes, w.understood)
+    return ops.project_overview(w.regions, w.nodes, w.understood, unsupported_tally(views.other_files(spark, folder)))
 
 
 def module_index(w: Warehouse) -> DataFrame:
@@ -147,7 +192,14 @@ QUERIES = {
     "l1_focus_region_edges": l1_focus_region_edges,
     "l1_focus_concepts": l1_focus_concepts,
     "l1_focus_files": l1_focus_files,
+    "l1_focus_candidates": l1_focus_candidates,
+    "l1_focus_home": l1_focus_home,
+    "l1_focus_partial_files": l1_focus_partial_files,
     "l1_focus_map": l1_focus_map,
+    "l1_focus_map_edges": l1_focus_map_edges,
+    "l1_focus_map_unreachable": l1_focus_map_unreachable,
+    "l1_focus_workflow": l1_focus_workflow,
+    "l1_focus_workflow_unreachable": l1_focus_workflow_unreachable,
     "l2_language_options": l2_language_options,
     "l3_concept_chart": l3_concept_chart,
     "l4_project_overview": l4_project_overview,
@@ -201,9 +253,27 @@ SQL = {
     "l1_focus_files": with_tables(NODES, FILES) + """
       SELECT f.* FROM files f WHERE EXISTS (
         SELECT 1 FROM nodes n WHERE n.project = f.project AND n.file = f.file AND n.language = 'typescript')""",
+    "l1_focus_candidates": with_tables(NODES, CANDIDATES) + """
+      SELECT c.project, c.id FROM candidates c JOIN nodes n ON n.project = c.project AND n.id = c.id WHERE n.language = 'go'""",
+    "l1_focus_home": with_tables(NODES, CANDIDATES) + """
+      SELECT h.project, CASE WHEN n.language = focus THEN h.home END AS home, focus
+      FROM home h LEFT JOIN nodes n ON n.project = h.project AND n.id = h.home, (VALUES ('python'), ('typescript')) f(focus)""",
+    "l1_focus_partial_files": with_tables(NODES) + """
+      SELECT DISTINCT project, file FROM nodes WHERE partial AND language = 'typescript'""",
     "l1_focus_map": with_tables(*_ROLL, _CYCLES, _IMPORT_LAYERS, recursive=True) + """
-      SELECT * FROM import_layers l WHERE EXISTS (
-        SELECT 1 FROM nodes n WHERE n.project = l.project AND n.region = l.region AND n.language = 'typescript')""",
+      SELECT l.* FROM import_layers l JOIN regions r ON r.project = l.project AND r.region = l.region WHERE r.language = 'typescript'""",
+    "l1_focus_map_edges": with_tables(*_ROLL) + """
+      SELECT e.project, e.src, e.dst, e.weight FROM region_edges e
+      JOIN regions a ON a.project = e.project AND a.region = e.src AND a.language = 'typescript'
+      JOIN regions b ON b.project = e.project AND b.region = e.dst AND b.language = 'typescript'""",
+    "l1_focus_map_unreachable": with_tables(*_ROLL, _CYCLES, _IMPORT_LAYERS, recursive=True) + """
+      SELECT l.project, l.region FROM import_layers l JOIN regions r ON r.project = l.project AND r.region = l.region
+      WHERE r.language = 'typescript' AND NOT l.reachable""",
+    "l1_focus_workflow": with_tables(NODES, EDGES, CANDIDATES, _workflow()) + """
+      SELECT w.* FROM workflow w JOIN nodes n ON n.project = w.project AND n.id = w.id WHERE n.language = 'typescript'""",
+    "l1_focus_workflow_unreachable": with_tables(NODES, EDGES, CANDIDATES, _workflow()) + """
+      SELECT n.project, n.id, n.language FROM nodes n WHERE n.language = 'typescript'
+      AND NOT EXISTS (SELECT 1 FROM workflow w WHERE w.project = n.project AND w.id = n.id)""",
     "l2_language_options": with_tables(*_ROLL) + """
       SELECT project, language, count(*) AS regions FROM regions GROUP BY ALL
       UNION ALL SELECT project, 'all', count(*) FROM regions GROUP BY project""",
@@ -217,7 +287,7 @@ SQL = {
       GROUP BY ALL""",
     "l4_project_overview": with_tables(*_ROLL, SIGNATURES, PROGRESS, _LIT) + """
       SELECT r.project, r.modules, n.structures, r.lines, g.languages, r.home, b.biggest, y.busiest, n.unreadable,
-        CAST(0 AS BIGINT) AS unsupported, coalesce(u.understood, 0) AS understood
+        coalesce(x.unsupported, 0) AS unsupported, coalesce(u.understood, 0) AS understood
       FROM (SELECT project, count(*) AS modules, CAST(sum(loc) AS BIGINT) AS lines, max(CASE WHEN home THEN region END) AS home
         FROM regions GROUP BY project) r
       JOIN (SELECT project, count(*) AS structures, count(DISTINCT CASE WHEN partial THEN file END) AS unreadable
@@ -230,6 +300,8 @@ SQL = {
       JOIN (SELECT project, string_agg(region || ':' || centrality, '|' ORDER BY centrality DESC, region) AS busiest FROM (
         SELECT *, row_number() OVER (PARTITION BY project ORDER BY centrality DESC, region) AS p FROM regions) WHERE p <= 5
         GROUP BY project) y ON y.project = r.project
+      LEFT JOIN (SELECT r_name AS project, count(*) AS unsupported FROM customer JOIN nation ON c_nationkey = n_nationkey
+        JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE') GROUP BY r_name) x ON x.project = r.project
       LEFT JOIN (SELECT l.project, count(*) AS understood FROM lit l JOIN regions r ON r.project = l.project AND r.region = l.region
         GROUP BY l.project) u ON u.project = r.project""",
     "l5_module_index": _I + "SELECT * FROM idx",

@@ -94,7 +94,9 @@ def responses(w: Warehouse) -> tuple[DataFrame, DataFrame]:
     raw = F.element_at(F.array(*texts), kind + 1)
     made = rows.select(F.concat_ws("/", "project", "id").alias("response_id"), "project", F.col("id").alias("node"), raw.alias("raw"))
     excerpt = w.nodes.select("project", "id", "file", F.col("lineno").alias("first"),
-                             F.least(F.col("end_lineno"), F.col("lineno") + ops.EXCERPT_LINES - 1).alias("last"))
+                             F.least(F.col("end_lineno"), F.col("lineno") + ops.EXCERPT_LINES - 1).alias("last"),
+                             (F.col("end_lineno") - F.col("lineno") + 1).alias("total"),
+                             (F.col("end_lineno") - F.col("lineno") + 1 > ops.EXCERPT_LINES).alias("truncated"))
     return made, excerpt
 
 
@@ -181,7 +183,7 @@ keys AS MATERIALIZED (SELECT n.project, n.id, m AS mode,
     n.partial FROM nodes n CROSS JOIN (VALUES ('easy'), ('expert')) v(m))"""
 
 _VERDICTS = """
-made AS MATERIALIZED (SELECT n.project || '/' || n.id AS response_id, n.project, n.id AS node, n.file, n.lineno,
+made AS MATERIALIZED (SELECT n.project || '/' || n.id AS response_id, n.project, n.id AS node, n.file, n.lineno, n.end_lineno,
     CAST('0x' || substr(sha256(n.id), 1, 2) AS INTEGER) % 11 AS k, b.nb
   FROM nodes n LEFT JOIN (SELECT project, node, min(neighbor) AS nb FROM near GROUP BY ALL) b ON b.project = n.project AND b.node = n.id)"""
 
@@ -237,7 +239,11 @@ SQL = {
     "t7_ground_responses": with_tables(NODES, EDGES, _NEIGHBORS, _VERDICTS) + """
       SELECT response_id, project, node, reason,
         CASE WHEN reason IS NULL THEN CASE k WHEN 1 THEN 'ok ' || node WHEN 10 THEN 'padded' ELSE 's' END END AS summary,
-        CASE WHEN reason IS NULL THEN CASE WHEN k IN (5, 6, 7, 10) THEN CAST(1 AS BIGINT) ELSE 0 END END AS withheld
+        CASE WHEN reason IS NULL THEN CASE WHEN k IN (5, 6, 7, 10) THEN CAST(1 AS BIGINT) ELSE 0 END END AS withheld,
+        CASE WHEN reason IS NULL THEN file || ':' || lineno END AS citation, CASE WHEN reason IS NULL THEN lineno END AS first,
+        CASE WHEN reason IS NULL THEN CAST(least(end_lineno, lineno + 199) AS INTEGER) END AS last,
+        CASE WHEN reason IS NULL THEN CAST(end_lineno - lineno + 1 AS INTEGER) END AS total,
+        CASE WHEN reason IS NULL THEN end_lineno - lineno + 1 > 200 END AS truncated
       FROM (SELECT *, CASE k WHEN 0 THEN 'not a JSON object' WHEN 2 THEN 'no usable summary' WHEN 3 THEN 'line outside the excerpt'
         WHEN 4 THEN 'unknown neighbor' END AS reason FROM made)""",
     "t7_walkthrough": with_tables(NODES, EDGES, _NEIGHBORS, _VERDICTS) + """

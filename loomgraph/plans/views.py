@@ -311,6 +311,13 @@ def progress_events(spark: SparkSession, folder: str, signatures: DataFrame, eve
         "value")
 
 
+def other_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files in languages without an owner: one per customer of two market segments."""
+    language = F.when(F.col("c_mktsegment") == "MACHINERY", ".c").when(F.col("c_mktsegment") == "FURNITURE", ".kt")
+    return customers(spark, folder).where(language.isNotNull()).select(
+        "project", F.concat(F.lit("native/customer_"), F.col("c_custkey").cast("string"), language).alias("path"), language.alias("ext"))
+
+
 # ---- the same tables as Python source files ------------------------------
 
 def _file(rows: DataFrame, path: Column, *lines: Column | str) -> DataFrame:

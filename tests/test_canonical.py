@@ -78,3 +78,25 @@ def test_hash_fraction_matches_a_direct_computation(spark):
     got = spark.createDataFrame([("alpha",)], "id string").select(hash_fraction(F.col("id"), "salt")).first()[0]
     want = int.from_bytes(hashlib.sha256(b"salt:alpha").digest()[:8], "big") / float((1 << 64) - 1)
     assert got == want
+
+
+def test_language_focus_keeps_boxes_by_their_own_language(graph, spark):
+    from loomgraph.operators import analytics, reporting
+
+    nodes, edges = graph(
+        [("a", "module", "a", "a.py", 0), ("a.t", "function", "a", "a.ts"), ("b", "module", "b", "b.py", None, True), ("c", "module", "c", "c.ts", 1)],
+        [("a", "b", "import", True), ("a", "c", "import", True), ("b", "c", "import", True)])
+    nodes = nodes.withColumn("language", F.when(F.col("file").endswith(".ts"), "typescript").otherwise("python"))
+    homes = ops.home_select(nodes)
+    regions, routes = ops.region_rollup(nodes, ops.centrality(nodes, edges), homes), ops.region_edges(nodes, edges)
+    boxes = analytics.import_layers(regions, routes, analytics.components(routes))
+    # A region that holds a node of the language is kept in the graph, a box only if it is itself of the language.
+    assert rows(reporting.focus_regions(boxes, nodes, "typescript"), "region") == [("a",), ("c",)]
+    assert rows(reporting.focus_boxes(boxes, regions, "typescript"), "region") == [("c",)]
+    assert rows(reporting.focus_box_edges(routes, regions, "python"), "src", "dst") == [("a", "b")]
+    assert rows(reporting.focus_candidates(ops.candidates(nodes).select("project", "id"), nodes, "typescript"), "id") == [("c",)]
+    assert rows(reporting.focus_home(homes, nodes, "python"), "home") == [("a",)] and rows(reporting.focus_home(homes, nodes, "go"), "home") == [(None,)]
+    assert rows(reporting.focus_files(reporting.partial_files(nodes), nodes, "python"), "file") == [("b.py",)]
+    flow = analytics.workflow(nodes, edges, homes)
+    assert rows(reporting.focus_rows(flow, nodes, "typescript"), "id", "parent") == [("a.t", "a")]
+    assert rows(reporting.focus_rows(analytics.unreached_nodes(nodes, flow), nodes, "typescript"), "id") == [("c",)]
