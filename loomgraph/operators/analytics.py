@@ -34,27 +34,30 @@ def neighbors(region_edges: DataFrame) -> DataFrame:
 def propagate_labels(pairs: DataFrame, rounds: int = LABEL_ROUNDS) -> DataFrame:
     """Synchronous label propagation; labels are region ids, so order is theirs.
 
-    A region's own label travels along with weight zero, which lets the same
-    aggregation both choose the next label and tell whether anything changed.
+    A region's next label depends on its neighbours' alone, so after the first
+    round only regions with a neighbour that moved vote again; all others would
+    choose as before. Each round writes the labels that moved.
     """
-    labels = cut(
-        pairs.select("project", F.col("a").alias("region")).distinct().withColumn("label", F.col("region")),
-        "labels",
-    )
-    for _ in range(rounds):
-        votes = pairs.join(labels.withColumnRenamed("region", "b"), ["project", "b"]).select(
-            "project", F.col("a").alias("region"), "label", F.lit(1).alias("votes"), F.lit(False).alias("own"))
-        own = labels.select("project", "region", "label", F.lit(0).alias("votes"), F.lit(True).alias("own"))
-        counted = votes.unionByName(own).groupBy("project", "region", "label").agg(
-            F.sum("votes").alias("votes"), F.bool_or("own").alias("own"))
-        chosen = counted.groupBy("project", "region").agg(
-            F.min_by("label", F.when(F.col("votes") > 0, F.struct(-F.col("votes"), F.col("label")))).alias("label"),
-            F.max(F.when(F.col("own"), F.col("label"))).alias("before"))
-        moved = cut(chosen, "labels")
-        labels = moved.select("project", "region", "label")
-        if moved.where(F.col("label") != F.col("before")).isEmpty():
+    start = cut(pairs.select("project", F.col("a").alias("region")).distinct().withColumn("label", F.col("region")), "labels")
+    written = [start.withColumn("round", F.lit(0))]
+
+    def current() -> DataFrame:
+        return reduce(DataFrame.unionByName, written).groupBy("project", "region").agg(F.max_by("label", "round").alias("label"))
+
+    asked = pairs
+    for number in range(1, rounds + 1):
+        labels = current()
+        votes = asked.join(labels.withColumnRenamed("region", "b"), ["project", "b"]).groupBy(
+            "project", F.col("a").alias("region"), "label").agg(F.count("*").alias("votes"))
+        chosen = votes.groupBy("project", "region").agg(F.min_by("label", F.struct(-F.col("votes"), F.col("label"))).alias("label"))
+        before = labels.withColumnRenamed("label", "before")
+        moved = cut(chosen.join(before, ["project", "region"]).where(F.col("label") != F.col("before")).select("project", "region", "label"), "moved")
+        if moved.isEmpty():
             break
-    return labels
+        written.append(moved.withColumn("round", F.lit(number)))
+        near = pairs.join(moved.select("project", F.col("region").alias("b")), ["project", "b"], "left_semi").select("project", "a").distinct()
+        asked = cut(pairs.join(near, ["project", "a"], "left_semi"), "voters")
+    return current()
 
 
 def communities(regions: DataFrame, region_edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,44 @@ def dedup_concepts(concepts: DataFrame) -> DataFrame:
     return concepts.select(*CONCEPT_COLUMNS).distinct()
 
 
+@dataclass(frozen=True)
+class Graph:
+    """What one language's extraction gives: its nodes, edges, concepts, files, and the files it could not read in full."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    concepts: DataFrame
+    files: DataFrame
+    partial_files: DataFrame
+
+
+def compose_edges(parts: Sequence[DataFrame]) -> DataFrame:
+    """Union edge tables; an edge that several parts saw is one."""
+    return dedup_edges(reduce(DataFrame.unionByName, [p.select(*EDGE_COLUMNS) for p in parts]))
+
+
+def compose_concepts(parts: Sequence[DataFrame]) -> DataFrame:
+    return dedup_concepts(reduce(DataFrame.unionByName, [p.select(*CONCEPT_COLUMNS) for p in parts]))
+
+
+def compose_partial_files(parts: Sequence[DataFrame]) -> DataFrame:
+    """A file is partial if any part found it so."""
+    return reduce(DataFrame.unionByName, [p.select("project", "file") for p in parts]).distinct()
+
+
+def compose_unsupported(parts: Sequence[DataFrame]) -> DataFrame:
+    """Unsupported files by extension, added up over separate scans."""
+    whole = reduce(DataFrame.unionByName, [p.select("project", "ext", "language", "count") for p in parts])
+    return whole.groupBy("project", "ext", "language").agg(F.sum("count").alias("count"))
+
+
+def compose(graphs: Sequence[Graph]) -> Graph:
+    """One graph of several languages' graphs. Repeated node ids and files with two contents are errors."""
+    return Graph(
+        compose_nodes([g.nodes for g in graphs]), compose_edges([g.edges for g in graphs]), compose_concepts([g.concepts for g in graphs]),
+        compose_files([g.files for g in graphs]), compose_partial_files([g.partial_files for g in graphs]))
+
+
 def internal_edges(edges: DataFrame, nodes: DataFrame, kind: str | None = None) -> DataFrame:
     """Edges that stay in the project: not external, and both ends are nodes."""
     kept = edges.where(~F.col("external"))

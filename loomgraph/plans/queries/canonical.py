@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from loomgraph.functions import paths
 from loomgraph.functions.hashing import hash_fraction
 from loomgraph.operators import canonical as ops
+from loomgraph.plans import views
 from loomgraph.plans.warehouse import Warehouse
 from loomgraph.plans.oracle_base import (
-    CANDIDATES, CENTRAL, EDGES, NODES, REGION_EDGES, REGIONS, with_tables,
+    CANDIDATES, CENTRAL, CONCEPT_ROWS, EDGES, NODES, REGION_EDGES, REGIONS, with_tables,
 )
+from loomgraph.sources.corpus import unsupported_tally
 
 
 def g1_compose(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,6 +26,36 @@ def g1_compose_files(spark: SparkSession, folder: str) -> DataFrame:
     return ops.compose_files([files.where(F.pmod(F.hash("project", "file"), F.lit(3)) == part) for part in range(3)])
 
 
+def _languages(w: Warehouse) -> ops.Graph:
+    """The graph composed of one part per language; edges belong to the language of their source."""
+    parts = []
+    for language in ("python", "typescript", "go"):
+        nodes = w.nodes.where(F.col("language") == language)
+        own = nodes.select("project", F.col("id").alias("src"))
+        partial = nodes.where("partial").select("project", "file")
+        parts.append(ops.Graph(nodes, w.raw_edges.join(own, ["project", "src"], "left_semi"), w.concepts.where(F.col("language") == language),
+                               w.files.where(F.col("language") == language), partial))
+    return ops.compose(parts)
+
+
+def g1_compose_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return _languages(Warehouse(spark, folder)).edges
+
+
+def g1_compose_concepts(spark: SparkSession, folder: str) -> DataFrame:
+    return _languages(Warehouse(spark, folder)).concepts
+
+
+def g1_compose_partial_files(spark: SparkSession, folder: str) -> DataFrame:
+    return _languages(Warehouse(spark, folder)).partial_files
+
+
+def g1_compose_unsupported(spark: SparkSession, folder: str) -> DataFrame:
+    """Two scans of other files, by extension, added up."""
+    files = views.other_files(spark, folder)
+    return ops.compose_unsupported([unsupported_tally(files.where(F.pmod(F.hash("path"), F.lit(2)) == part)) for part in range(2)])
+
+
 def g2_dedup_edges(spark: SparkSession, folder: str) -> DataFrame:
     return ops.dedup_edges(Warehouse(spark, folder).raw_edges)
 
@@ -86,6 +118,10 @@ def g12_hash_fraction(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "g1_compose": g1_compose,
     "g1_compose_files": g1_compose_files,
+    "g1_compose_edges": g1_compose_edges,
+    "g1_compose_concepts": g1_compose_concepts,
+    "g1_compose_partial_files": g1_compose_partial_files,
+    "g1_compose_unsupported": g1_compose_unsupported,
     "g2_dedup_edges": g2_dedup_edges,
     "g2_dedup_concepts": g2_dedup_concepts,
     "g3_centrality": g3_centrality,
@@ -109,6 +145,14 @@ _NE = with_tables(NODES, EDGES)
 SQL = {
     "g1_compose": _N + "SELECT * FROM nodes",
     "g1_compose_files": with_tables(NODES, FILES) + "SELECT * FROM files",
+    "g1_compose_edges": with_tables(NODES, EDGES) + "SELECT * FROM edges",
+    "g1_compose_concepts": with_tables(NODES, CONCEPT_ROWS) + "SELECT * FROM concepts",
+    "g1_compose_partial_files": with_tables(NODES) + "SELECT DISTINCT project, file FROM nodes WHERE partial",
+    "g1_compose_unsupported": """
+      SELECT r_name AS project, CASE c_mktsegment WHEN 'MACHINERY' THEN '.c' ELSE '.kt' END AS ext,
+        CASE c_mktsegment WHEN 'MACHINERY' THEN 'C' ELSE 'Kotlin' END AS language, count(*) AS count
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+      WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE') GROUP BY ALL""",
     "g2_dedup_edges": _NE + "SELECT * FROM edges",
     "g2_dedup_concepts": with_tables(NODES, CONCEPT_ROWS) + "SELECT * FROM concepts",
     "g3_centrality": with_tables(NODES, EDGES, CENTRAL) + "SELECT * FROM central",

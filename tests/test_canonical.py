@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.hashing import hash_fraction
 from loomgraph.functions.paths import is_learner_test_scoped, is_test_scoped, parent_directory, path_tail
 from loomgraph.operators import canonical as ops
+from loomgraph.schema import CONCEPTS, FILES
 
 
 def modules(*names):
@@ -100,3 +101,18 @@ def test_language_focus_keeps_boxes_by_their_own_language(graph, spark):
     flow = analytics.workflow(nodes, edges, homes)
     assert rows(reporting.focus_rows(flow, nodes, "typescript"), "id", "parent") == [("a.t", "a")]
     assert rows(reporting.focus_rows(analytics.unreached_nodes(nodes, flow), nodes, "typescript"), "id") == [("c",)]
+
+
+def test_graphs_of_languages_are_composed_whole(graph, spark):
+    nodes, edges = graph([("a", "module", "a"), ("b", "module", "b", "b.py", None, True)], [("a", "b", "import", True), ("a", "b", "import", True)])
+    concepts = spark.createDataFrame([("p", "a", "python", "decorator", 1, 1, "x")] * 2, CONCEPTS)
+    files = spark.createDataFrame([("p", f, "python", f) for f in ("a.py", "b.py")], FILES)
+    partial = nodes.where("partial").select("project", "file")
+    one = ops.Graph(nodes.where("id = 'a'"), edges, concepts, files, partial)
+    two = ops.Graph(nodes.where("id = 'b'"), edges, concepts, files.where("file = 'b.py'"), partial)
+    whole = ops.compose([one, two])
+    assert [t.count() for t in (whole.nodes, whole.edges, whole.concepts, whole.files, whole.partial_files)] == [2, 1, 1, 2, 1]
+    tally = spark.createDataFrame([("p", ".c", "C", 2), ("p", ".h", None, 1)], "project string, ext string, language string, count bigint")
+    assert rows(ops.compose_unsupported([tally, tally])) == [("p", ".c", "C", 4), ("p", ".h", None, 2)]
+    with pytest.raises(Exception, match="duplicate node id"):
+        ops.compose([one, one]).nodes.collect()
