@@ -22,36 +22,38 @@ def _with_text(docs: DataFrame, like: DataFrame, text: str) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; null and empty texts fail the base test, repeated rows are judged alike."""
     return quality.keep_good(docs)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Lines found in three documents or more stay in one of them."""
+    """Lines found in three documents or more stay in the one with the largest id; nulls become empty texts, and every row stays."""
     packed = docs.select("doc_id", "text", F.struct("*").alias("_own"))
     return _with_text(line_dedup.dedup(packed), docs, "kept_text")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One row of each group of near copies stays, by text: repeated ids with different texts are documents of their own, wordless rows all stay."""
     return ngram_join.one_of_each(docs)
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The sources in their target shares: a row for every part of a document in a block, in the order of the output shards."""
+    """The sources in their target shares: a row for every part of a document in a block, in the order of the output shards.
+
+    Null sources are a source of their own, one id or text in two sources counts for both, and texts without words give no rows.
+    """
     keyed = docs.select(
         F.struct("*").alias("_own"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text", F.col("source").alias("_of")
     )
     sized = keyed.select("_id", "_hash", F.col("_of").alias("source"), mixing.n_words(F.col("text")).alias("_size"))
     stream, spans = mixing.mix(sized, [F.col("_id"), F.col("_hash")])
     placed = stream.where("_size > 0").select(F.col("_source").alias("_s"), F.col("_from").alias("_f"), "_id", "_hash")
-    taken = spans.join(placed, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_from") == F.col("_f"))).groupBy("_id", "_hash").agg(
+    taken = spans.join(placed, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_from") == F.col("_f"))).groupBy("_id", "_hash", "_s").agg(
         F.collect_list(F.struct("shard", "spot", "start", "words")).alias("parts")
     )
-    # Identical rows share their parts, so one of them stands for all.
-    joined = keyed.dropDuplicates(["_id", "_hash"]).alias("k").join(
-        taken.alias("t"), F.col("k._id").eqNullSafe(F.col("t._id")) & (F.col("k._hash") == F.col("t._hash"))
-    )
+    # Rows of one source, id and text share their parts, so one of them stands for all.
+    same = F.col("k._id").eqNullSafe(F.col("t._id")) & (F.col("k._hash") == F.col("t._hash")) & F.col("k._of").eqNullSafe(F.col("t._s"))
+    joined = keyed.dropDuplicates(["_id", "_hash", "_of"]).alias("k").join(taken.alias("t"), same)
     tokens = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+$)?"), F.lit(0))
     cuts = joined.select("_own", tokens.alias("_words"), "parts")
     texts = F.transform(
@@ -67,7 +69,7 @@ def mixed_to_weights(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 
 
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """``doc_id, ids, n_tokens, text``: packed token ids of every row, and the text decoded from them."""
+    """``doc_id, ids, n_tokens, text``: packed token ids of every row, repeats and null ids included, and the text decoded from them."""
     coded = bpe.encode(docs.select("doc_id", "text"), vocabulary())
     return coded.select("doc_id", "ids", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.decode("bytes", "UTF-8").alias("text"))
 
