@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.components import components
 from loomgraph.llm.shingles import mixed, set_id, shingle_sets
+from loomgraph.llm.text import WORD
 from loomgraph.session import cut, ship
 
 PERCENT = 75
@@ -61,22 +62,23 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
 
 
-_SCANNED = "doc_id bigint, n bigint, sid bigint, chunk int, counts binary"
+_SCANNED = "doc_id bigint, t1 bigint, t2 bigint, n bigint, sid bigint, chunk int, counts binary"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per text, then the counts of the task's shingles by hash in compressed chunks."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    numbers = ("doc_id", "t1", "t2", "n", "sid")
+    schema = pa.schema([*((name, pa.int64()) for name in numbers), ("chunk", pa.int32()), ("counts", pa.binary())])
     counts = np.zeros(1 << BITS, dtype=np.uint32)
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            for id_, shingles in zip(ids, shingle_sets(_texts(batch)), strict=True):
+            keys = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in numbers[:3]), strict=True)
+            for key, shingles in zip(keys, shingle_sets(_texts(batch)), strict=True):
                 np.add.at(counts, (shingles >> np.uint64(64 - BITS)).astype(np.int64), 1)
-                yield id_, len(shingles), set_id(shingles) if len(shingles) else None, None, None
+                yield *key, len(shingles), set_id(shingles) if len(shingles) else None, None, None
         for chunk in range(0, len(counts), _CHUNK) if counts.any() else ():
-            yield None, None, None, chunk // _CHUNK, zlib.compress(counts[chunk : chunk + _CHUNK].tobytes(), 1)
+            yield None, None, None, None, None, chunk // _CHUNK, zlib.compress(counts[chunk : chunk + _CHUNK].tobytes(), 1)
 
     yield from _batches(rows(), schema)
 
@@ -221,15 +223,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int)
     return both.where(linked).select("a", "b").distinct()
 
 
+def text_keys() -> dict[str, Column]:
+    """Two hashes that stand for a text."""
+    return {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")}
+
+
 def linked_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, n, sid`` for every document, and ``sid, root`` for the sets in a link.
+    """``doc_id, t1, t2, n, sid`` for every document, and ``sid, root`` for the sets in a link.
 
-    ``sid`` stands for the set of shingles (null if empty), ``root`` for the component.
+    ``t1`` and ``t2`` stand for the text, ``sid`` for the set of shingles (null if empty), ``root`` for the component.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = cut(docs.mapInArrow(_scan, _SCANNED), "scan")
-    rows = scanned.where("chunk IS NULL").select("doc_id", "n", "sid")
+    scanned = cut(docs.withColumns(text_keys()).mapInArrow(_scan, _SCANNED), "scan")
+    rows = scanned.where("chunk IS NULL").select("doc_id", "t1", "t2", "n", "sid")
     nodes = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     entries = docs.select("text").mapInArrow(_prefixes(shared_levels(scanned), percent), "token bigint, sid bigint, size bigint")
     salt = F.when(F.col("size") % 2 == 1, 1 + F.pmod("sid", F.lit(SALTS))).otherwise(0).cast("int")
@@ -295,11 +302,19 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id, with its own columns.
+    """One row of each group of near copies, with its own columns: the one with the smallest id, rows without one last.
 
-    Of rows that repeat such an id one stays; rows without an id all stay, as they can't be told apart.
+    Rows are chosen by their texts, so repeated ids with different texts are documents of their own, and rows
+    without an id are compared like all others. Of rows that repeat both id and text one stays. Rows without
+    words are near copies of nothing and all stay.
     """
-    stay = near_groups(docs.select("doc_id", "text"), percent).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    shut = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct("*").alias("_own"))
-    first = shut.where("_id IS NOT NULL").join(stay, "_id", "left_semi").dropDuplicates(["_id"])
-    return first.union(shut.where("_id IS NULL")).select("_own.*")
+    rows, roots = linked_sets(docs.select("doc_id", "text"), percent)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    sets = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min(first).alias("first")).join(roots, "sid", "left")
+    chosen = sets.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first.t1", "first.t2")
+    keys = {f"_{name}": column for name, column in text_keys().items()}
+    shut = docs.select(F.col("doc_id").cast("long").alias("_id"), *[c.alias(n) for n, c in keys.items()], "text", F.struct("*").alias("_own"))
+    wordy = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2"))
+    kept = shut.where(wordy).drop("text").join(chosen, same, "left_semi").dropDuplicates(["_id", "_t1", "_t2"])
+    return kept.select("_own").union(shut.where(~wordy).select("_own")).select("_own.*")

@@ -38,6 +38,36 @@ def test_stages_take_effect_one_after_the_other(spark, frame):
     assert Counter(r.text for r in last) == Counter(r["text"] for r in mix)
 
 
+def test_near_copies_are_chosen_by_text_and_not_by_id(spark, frame):
+    one, two, three = prose(1, 120), prose(2, 120), prose(3, 120)
+    rows = [(3, one), (5, one + " more"), (5, two), (None, three), (None, three + " more"), (None, two + " extra"), (7, None), (7, ""), (None, " "), (3, one)]
+    got = corpus_pipeline.one_of_near_copies(spark, frame(rows).repartition(3), "")
+    kept = sorted(((r.doc_id, r.text) for r in got.toLocalIterator()), key=repr)
+    # Of two rows without an id, the one whose text's hash is smaller.
+    assert kept in [sorted([(3, one), (5, two), (None, x), (7, None), (7, ""), (None, " ")], key=repr) for x in (three, three + " more")]
+
+
+def test_one_text_in_two_sources_is_mixed_for_both(spark, frame):
+    text = prose(9, 400)
+    docs = frame([(1, text, "s0"), (1, text, "s1"), (1, text, None), (2, prose(4, 300), "s0"), (3, None, "s1"), (4, "", "s2")])
+    taken = Counter()
+    for r in corpus_pipeline.mixed_to_weights(spark, docs, "").toLocalIterator():
+        taken[r.source] += len(r.text.split())
+    sizes = Counter()
+    for r in docs.toLocalIterator():
+        sizes[r.source] += len((r.text or "").split())
+    wanted = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")).toLocalIterator()}
+    assert all(abs(taken[s] - (wanted[s] or 0)) <= 1 for s in sizes) and taken["s1"] and taken[None]
+
+
+def test_all_stages_take_odd_rows(spark, frame, odd_rows):
+    docs = frame(odd_rows + [(20 + i, prose(20 + i, 120)) for i in range(12)])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = cut(stage(spark, docs, ""))
+        assert docs.count() > 0, name
+    assert all(len(r.ids) == 4 * r.n_tokens for r in docs.toLocalIterator())
+
+
 def test_stages_take_an_empty_table(spark, frame):
     docs = frame([])
     for _, stage in corpus_pipeline.STAGES:
