@@ -9,7 +9,7 @@ bounded rows and bytes, are sent to every task; each text leaves it as a packed
 list of places in that table, and its other distinct words as rows of their own,
 which are joined with the table of words and then, by text, with the packed lists.
 So neither texts nor words that occur often are shuffled. Texts are known by two
-64-bit hashes of id and text, words in the frequent table by two of their characters.
+64-bit hashes of id and text, words in the frequent table by 96 bits of hash of their characters.
 
 How the vocabulary's file normalises (composed characters, lower case) and which
 characters are letters or digits is asked of the file's own normaliser and splitter,
@@ -25,10 +25,12 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +40,10 @@ from loomgraph.llm.text import whole
 from loomgraph.session import cut, ship
 
 # Bounds of the table that every task gets: rows, bytes, and bytes of one word.
-FREQUENT, FREQUENT_BYTES, LONGEST = 1 << 18, 1 << 25, 4096
-_SLICE = 1 << 20
+FREQUENT, FREQUENT_BYTES, LONGEST = 1 << 19, 1 << 26, 4096
+# Words are counted in so many buckets; a task sends its counts on when it holds so many words.
+BUCKETS, HELD_WORDS = 1024, 1 << 17
+_SLICE, _GATHER = 1 << 17, 1 << 16
 _SPACE, _LETTER, _NUMBER, _OTHER, _SPECIAL, _UNKNOWN = range(6)
 # Special tokens stand in a text as surrogates, which no text can hold.
 _MARK = 0xD800
@@ -119,7 +123,7 @@ class Splitter:
         self._normalise, self._split = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
         self._classes = np.full(0x110000, _UNKNOWN, dtype=np.uint8)
         self._classes[_MARK : _MARK + 256] = _SPECIAL
-        self._values = [mixed(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(odd)) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+        self._odd = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
         self._base, self._powers, self._inverse = 0xD6E8FEB86659FD93, np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
         self._specials = {s: chr(_MARK + k) for k, s in enumerate(specials)}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
@@ -141,7 +145,10 @@ class Splitter:
 
     def _classify(self, points: np.ndarray) -> np.ndarray:
         classes = self._classes[points]
-        for point in np.unique(points[classes == _UNKNOWN]).tolist():
+        unknown = points[classes == _UNKNOWN]
+        if not len(unknown):
+            return classes
+        for point in np.unique(unknown).tolist():
             among_letters, among_others = (len(self._split(side + chr(point) + side)) for side in "a!")
             self._classes[point] = {(1, 3): _LETTER, (3, 1): _OTHER, (3, 3): _NUMBER, (2, 2): _SPACE}[among_letters, among_others]
         return self._classes[points]
@@ -152,9 +159,10 @@ class Splitter:
         before = np.concatenate([[_SPACE], classes[:-1]])
         starts = (classes != _SPACE) & ((classes != before) | (classes == _NUMBER) | (classes == _SPECIAL))
         # An apostrophe that begins a word takes the end of a contraction with it, which ends the word.
-        marks = np.flatnonzero((points == ord("'")) & starts)
+        marks = np.flatnonzero(points == ord("'"))
+        marks = marks[starts[marks]]
         padded = np.concatenate([points, np.zeros(2, dtype=points.dtype)]) if len(marks) else points
-        for tail in _CONTRACTIONS:
+        for tail in _CONTRACTIONS if len(marks) else ():
             hit = marks[np.logical_and.reduce([padded[marks + 1 + k] == ord(c) for k, c in enumerate(tail)])]
             starts[np.concatenate([hit + 1 + k for k in range(len(tail))])] = False
             ends = hit + 1 + len(tail)
@@ -173,19 +181,24 @@ class Splitter:
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=np.uint64))
         found = []
-        for values in self._values:
+        for odd in self._odd:
             sums = np.zeros(len(points) + 1, dtype=np.uint64)
-            np.cumsum(values[points] * self._powers[: len(points)], out=sums[1:])
+            np.cumsum(mixed((points.astype(np.uint64) + np.uint64(1)) * odd) * self._powers[: len(points)], out=sums[1:])
             found.append(mixed((sums[ends] - sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64)))
         return found
 
     def hashes(self, words: list[str]) -> list[np.ndarray]:
         """Hashes of single words as they are."""
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-        return self._hashes(points, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if words else [np.zeros(0, np.uint64)] * 2
-
-    def slices(self, texts: list[str | None]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        found: list[list[np.ndarray]] = [[], []]
+        for at in range(0, len(words), 1 << 13):
+            some = words[at : at + (1 << 13)]
+            points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            ends = np.cumsum([len(w) for w in some], dtype=np.int64)
+            for held, new in zip(found, self._hashes(points, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends), strict=True):
+                held.append(new)
+        return [np.concatenate(held) if held else np.zeros(0, dtype=np.uint64) for held in found]
+
+    def slices(self, texts: Iterable[str | None]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
         """About a million characters at a time: characters, their code points, words' starts and ends, their texts' places, and hashes."""
         held, owners, size = [], [], 0
 
@@ -199,7 +212,7 @@ class Splitter:
         for place, text in enumerate(texts):
             text, at = self.normal(text) if text else "", 0
             while at < len(text):
-                stop = at + _SLICE - size
+                stop = min(at + _SLICE - size, len(text))
                 if stop < len(text):
                     # Words end at blanks.
                     stop = (text.find(" ", stop) + 1) or len(text)
@@ -214,27 +227,73 @@ class Splitter:
             yield found()
 
 
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column, a few at a time."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).to_pylist()
+    # Workers live on and share their executor's memory.
+    pa.default_memory_pool().release_unused()
+
+
 def _splitter(vocabulary: Vocabulary):
     settings, specials = vocabulary.settings, list(vocabulary.specials)
     return lambda: Splitter.of(settings, specials)
 
 
 def _counted(splitter):
-    """Distinct words of some texts at a time, with their counts."""
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+    """The task's distinct words by bucket of their hash: in order, one behind the other, with their counts, compressed."""
+    schema = pa.schema([("bucket", pa.int32()), ("sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("counts", pa.binary())])
+
+    def packed(held: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        words = sorted(held)
+        bucket = (splitter().hashes(words)[0] % np.uint64(BUCKETS)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bounds, rows = np.searchsorted(bucket[order], np.arange(BUCKETS + 1)), []
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            some = [words[i] for i in order[bounds[b] : bounds[b + 1]].tolist()]
+            blobs = "\n".join(some).encode(), np.array([held[w] for w in some], dtype=np.int64).tobytes()
+            rows.append((b, [len(x) for x in blobs], *(pa.compress(x, codec="zstd", asbytes=True) for x in blobs)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, int] = {}
         for batch in batches:
-            for joined, points, starts, ends, _, (hashes, _) in splitter().slices(batch.column(0).to_pylist()):
+            for joined, points, starts, ends, _, (hashes, _) in splitter().slices(_texts(batch.column(0))):
                 _, first, times = np.unique(hashes, return_index=True, return_counts=True)
                 plain = (points[starts[first]] < _MARK) | (points[starts[first]] >= _MARK + 256)
                 first, times = first[plain], times[plain]
-                words = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(times.astype(np.int64))], schema=schema)
+                for a, b, n in zip(starts[first].tolist(), ends[first].tolist(), times.tolist(), strict=True):
+                    word = joined[a:b]
+                    held[word] = held.get(word, 0) + n
+                if len(held) > HELD_WORDS:
+                    yield from packed(held)
+                    held = {}
+        if held:
+            yield from packed(held)
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words with their counts over all tasks, a bucket at a time."""
+    bucket, held = None, {}
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+    for batch in batches:
+        for b, sizes, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b != bucket and held:
+                yield done()
+                held = {}
+            bucket = b
+            words, counts = (pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip((words, counts), sizes, strict=True))
+            for word, n in zip(words.decode().split("\n"), np.frombuffer(counts, dtype=np.int64).tolist(), strict=True):
+                held[word] = held.get(word, 0) + n
+    if held:
+        yield done()
+
+
 def _encoded(vocabulary: Vocabulary):
     inner, last, pairs = vocabulary.inner, vocabulary.last, vocabulary.pairs
     kind = pa.list_(pa.int32())
@@ -249,13 +308,42 @@ def _encoded(vocabulary: Vocabulary):
 
 def word_table(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``word, n, ids, decoded`` of every distinct word of one column of texts: count, ids, and the ids' pieces joined by blanks."""
-    counts = texts.mapInArrow(_counted(_splitter(vocabulary)), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    parts = texts.mapInArrow(_counted(_splitter(vocabulary)), "bucket int, sizes array<bigint>, words binary, counts binary")
+    counts = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "word string, n bigint")
     coded = counts.mapInArrow(_encoded(vocabulary), "word string, n bigint, ids array<int>")
     # One row per id of the vocabulary.
     pieces = F.broadcast(texts.sparkSession.createDataFrame(list(vocabulary.pieces.items()), "id int, piece string"))
-    placed = coded.select("word", "n", F.posexplode("ids").alias("pos", "id")).join(pieces, "id")
-    whole_words = placed.groupBy("word").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "id", "piece"))).alias("parts"))
-    return cut(whole_words.select("word", "n", F.col("parts.id").alias("ids"), F.array_join("parts.piece", " ").alias("decoded")), "words")
+    placed = coded.select("word", "n", F.size("ids").alias("size"), F.posexplode("ids").alias("pos", "id")).join(pieces, "id")
+    in_order = placed.select("word", "n", "size", "pos", "id", "piece").mapInArrow(_regrouped, "word string, n bigint, ids array<int>, decoded string")
+    return cut(in_order, "words")
+
+
+def _regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and pieces of a word, which left the join one behind the other, together again; any other order is an error."""
+    held: pa.Table | None = None
+
+    def grouped(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        pos, size = (table.column(c).to_numpy() for c in ("pos", "size"))
+        starts = np.flatnonzero(pos == 0)
+        ends = np.append(starts[1:], len(pos))
+        if (len(starts) and starts[0]) or (ends - starts != size[starts]).any() or (pos != np.arange(len(pos)) - np.repeat(starts, ends - starts)).any():
+            raise RuntimeError("the pieces of a word have lost their order")
+        offsets = pa.array(np.append(starts, len(pos)), pa.int32())
+        ids, pieces = (pa.ListArray.from_arrays(offsets, table.column(c).combine_chunks()) for c in ("id", "piece"))
+        first = pa.array(starts)
+        columns = [table.column("word").combine_chunks().take(first), table.column("n").combine_chunks().take(first), ids, pc.binary_join(pieces, " ")]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "n", "ids", "decoded"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        starts = np.flatnonzero(table.column("pos").to_numpy() == 0)
+        last = int(starts[-1]) if len(starts) else 0
+        if last:
+            yield grouped(table.slice(0, last))
+        held = table.slice(last)
+    if held is not None and held.num_rows:
+        yield grouped(held)
 
 
 _LEVEL = "cast(floor(8 * log2(n)) as int)"
@@ -277,11 +365,22 @@ def _lowest_level(words: DataFrame, rows: int, size: int) -> int:
 class Codes:
     """Ids and decoded bytes of numbered words, as flat arrays; a blank stands behind every decoded word."""
 
-    def __init__(self, ids: list[list[int]], decoded: list[bytes]) -> None:
-        self.ids = np.fromiter((i for word in ids for i in word), dtype=np.uint32)
-        self.id_ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
-        self.data = np.frombuffer(b"".join(d + b" " for d in decoded), dtype=np.uint8)
-        self.data_ends = np.cumsum([0, *(len(d) + 1 for d in decoded)], dtype=np.int64)
+    def __init__(self, ids: np.ndarray, id_sizes: np.ndarray, data: np.ndarray, data_sizes: np.ndarray) -> None:
+        self.ids, self.data = ids.astype("<u4"), data
+        self.id_ends, self.data_ends = (np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64) for sizes in (id_sizes, data_sizes))
+
+    @classmethod
+    def of(cls, ids: list[list[int]], decoded: list[bytes]) -> Codes:
+        data = np.frombuffer(b"".join(d + b" " for d in decoded), dtype=np.uint8)
+        flat = np.fromiter((i for word in ids for i in word), dtype=np.uint32)
+        return cls(flat, np.array([len(i) for i in ids], dtype=np.int64), data, np.array([len(d) + 1 for d in decoded], dtype=np.int64))
+
+    def __reduce__(self):
+        """Sent compressed: sizes for ends, and the bytes of equal weight together."""
+        arrays = [self.ids, np.diff(self.id_ends), self.data, np.diff(self.data_ends)]
+        kinds = ["<u4", "<u4", "u1", "<u4"]
+        planes = [a.astype(k).view(np.uint8).reshape(len(a), -1).T.tobytes() for a, k in zip(arrays, kinds, strict=True)]
+        return _codes_sent, ([(len(a), len(p), k, pa.compress(p, codec="zstd", asbytes=True)) for a, p, k in zip(arrays, planes, kinds, strict=True)],)
 
     def with_more(self, other: Codes) -> Codes:
         out = object.__new__(Codes)
@@ -290,42 +389,97 @@ class Codes:
         out.data_ends = np.concatenate([self.data_ends, self.data_ends[-1] + other.data_ends[1:]])
         return out
 
+    def some(self, numbers: np.ndarray) -> Codes:
+        """Only the words of these numbers."""
+        ids, data = self._gathered(self.ids, self.id_ends, numbers), self._gathered(self.data, self.data_ends, numbers)
+        return Codes(np.frombuffer(ids[0], dtype="<u4"), np.diff(ids[1]), np.frombuffer(data[0], dtype=np.uint8), np.diff(data[1]))
+
     @staticmethod
-    def _gathered(flat: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _gathered(flat: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The words' values one behind the other, as bytes, and where each begins; some words at a time."""
         sizes = ends[numbers + 1] - ends[numbers]
-        tops = np.concatenate([[0], np.cumsum(sizes)])
-        return flat[np.repeat(ends[numbers] - tops[:-1], sizes) + np.arange(tops[-1])], tops
+        tops, parts = np.concatenate([[0], np.cumsum(sizes)]), []
+        for at in range(0, len(numbers), _GATHER):
+            of, size = numbers[at : at + _GATHER], sizes[at : at + _GATHER]
+            before = np.cumsum(size) - size
+            parts.append(flat[np.repeat(ends[of] - before, size) + np.arange(size.sum())].tobytes())
+        return b"".join(parts), tops
 
     def joined(self, numbers: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         """Packed ids and decoded bytes of the texts whose words' numbers lie between the bounds."""
         ids, tops = self._gathered(self.ids, self.id_ends, numbers)
         data, ends = self._gathered(self.data, self.data_ends, numbers)
         pairs = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-        return (
-            [ids[tops[a] : tops[b]].astype("<u4").tobytes() for a, b in pairs],
-            [data[ends[a] : max(ends[b] - 1, ends[a])].tobytes() for a, b in pairs],
-        )
+        return [ids[4 * tops[a] : 4 * tops[b]] for a, b in pairs], [data[ends[a] : max(ends[b] - 1, ends[a])] for a, b in pairs]
+
+
+def _codes_sent(parts: list[tuple[int, int, str, bytes]]) -> Codes:
+    arrays = []
+    for n, size, kind, packed in parts:
+        planes = np.frombuffer(pa.decompress(packed, size, codec="zstd", asbytes=True), dtype=np.uint8).reshape(-1, n)
+        arrays.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+    ids, id_sizes, data, data_sizes = arrays
+    return Codes(ids, id_sizes.astype(np.int64), data, data_sizes.astype(np.int64))
+
+
+_PARTS = ["first", "second", "ids", "id_sizes", "data", "data_sizes"]
+_KINDS = [np.uint64, np.uint64, np.int32, np.int32, np.uint8, np.int32]
+
+
+def _words_packed(splitter):
+    """Hashes, ids and decoded bytes of the words of a batch, as bytes of flat arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first, second = splitter().hashes(batch.column(0).to_pylist())
+            decoded = [d.encode() + b" " for d in batch.column(2).to_pylist()]
+            arrays = [
+                first, second, batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.column(1).value_lengths().to_numpy(zero_copy_only=False),
+                np.frombuffer(b"".join(decoded), dtype=np.uint8), np.array([len(d) for d in decoded]),
+            ]
+            packed = [pa.array([a.astype(k).tobytes()], pa.binary()) for a, k in zip(arrays, _KINDS, strict=True)]
+            yield pa.RecordBatch.from_arrays(packed, names=_PARTS)
+
+    return run
 
 
 class Frequent:
-    """The frequent words, specials first, and then by falling count: codes, and numbers found by hash."""
+    """The numbers of the frequent words, specials first, and then by falling count, found by hash."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray) -> None:
+        self.number = np.argsort(first).astype(np.int32)
+        self.first, self.second, self.size = first[self.number], second[self.number].astype(np.uint32), len(first)
 
-    def __init__(self, vocabulary: Vocabulary, rows: list[tuple[str, list[int], str]]) -> None:
-        specials = list(vocabulary.specials.items())
-        self.codes = Codes([[i] for _, i in specials] + [r[1] for r in rows], [s.encode() for s, _ in specials] + [r[2].encode() for r in rows])
-        first, second = _splitter(vocabulary)().hashes([chr(_MARK + k) for k in range(len(specials))] + [r[0] for r in rows])
-        self.number = np.argsort(first)
-        self.first, self.second, self.size = first[self.number], second[self.number], len(first)
+    def __reduce__(self):
+        """Sent in the order of numbers, and sorted where it arrives."""
+        back = np.argsort(self.number)
+        return Frequent, (self.first[back], self.second[back])
 
     def numbers(self, hashes: list[np.ndarray]) -> np.ndarray:
         """Numbers of words, and -1 for others."""
         if not self.size:
             return np.full(len(hashes[0]), -1)
         place = np.minimum(np.searchsorted(self.first, hashes[0]), self.size - 1)
-        return np.where((self.first[place] == hashes[0]) & (self.second[place] == hashes[1]), self.number[place], -1)
+        return np.where((self.first[place] == hashes[0]) & (self.second[place] == hashes[1].astype(np.uint32)), self.number[place], -1)
 
 
-def _numbered(splitter, frequent: Frequent, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+def _frequent(vocabulary: Vocabulary, words: DataFrame) -> tuple[Frequent, Codes]:
+    """Numbers and codes of the words, which come in order."""
+    splitter, specials = _splitter(vocabulary), list(vocabulary.specials.items())
+    start = Codes.of([[i] for _, i in specials], [s.encode() for s, _ in specials])
+    hashes = splitter().hashes([chr(_MARK + k) for k in range(len(specials))])
+    parts = [[h] for h in hashes] + [[start.ids], [np.diff(start.id_ends)], [start.data], [np.diff(start.data_ends)]]
+    packed = words.select("word", "ids", "decoded").mapInArrow(_words_packed(splitter), ", ".join(f"{p} binary" for p in _PARTS))
+    for row in packed.toLocalIterator():
+        for part, name, kind in zip(parts, _PARTS, _KINDS, strict=True):
+            part.append(np.frombuffer(row[name], dtype=kind))
+    first, second, *codes = (np.concatenate(part) for part in parts)
+    return Frequent(first, second), Codes(*codes)
+
+
+def _numbered(splitter, frequent: Frequent, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
     """For every text with words: its place, the numbers of its words, and the words that have numbers of its own, from ``frequent.size`` on."""
     place, numbers, own = -1, [], {}
 
@@ -349,14 +503,31 @@ def _numbered(splitter, frequent: Frequent, texts: list[str | None]) -> Iterator
         yield found()
 
 
-def _rare(splitter, frequent: Frequent):
+def _with_code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their codes in one value: how many ids, the ids, and the decoded bytes."""
+    for batch in batches:
+        codes = [
+            np.array([len(ids), *ids], dtype="<u4").tobytes() + decoded.encode()
+            for ids, decoded in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], names=["word", "code"])
+
+
+def _read_codes(codes: list[bytes]) -> Codes:
+    sizes = [int.from_bytes(c[:4], "little") for c in codes]
+    return Codes.of(
+        [np.frombuffer(c, dtype="<u4", count=n, offset=4).tolist() for c, n in zip(codes, sizes, strict=True)],
+        [c[4 + 4 * n :] for c, n in zip(codes, sizes, strict=True)])
+
+
+def _rare(splitter, shared: Broadcast):
     """The words of each text that the frequent table lacks, with their numbers in it."""
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("number", pa.int32()), ("word", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, out = [batch.column(i).to_pylist() for i in (0, 1)], []
-            for place, _, own in _numbered(splitter, frequent, batch.column(2).to_pylist()):
+            for place, _, own in _numbered(splitter, shared.value, _texts(batch.column(2))):
                 out += [(keys[0][place], keys[1][place], i, word) for i, word in enumerate(own)]
             columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
@@ -364,13 +535,13 @@ def _rare(splitter, frequent: Frequent):
     return run
 
 
-def _packed(splitter, frequent: Frequent):
+def _packed(splitter, shared: Broadcast):
     """Each text's words as numbers, the bytes of equal weight together, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs, counts = [None] * batch.num_rows, [0] * batch.num_rows
-            for place, numbers, _ in _numbered(splitter, frequent, batch.column(3).to_pylist()):
+            for place, numbers, _ in _numbered(splitter, shared.value, _texts(batch.column(3))):
                 planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
                 blobs[place], counts[place] = pa.compress(planes, codec="zstd", asbytes=True), len(numbers)
             columns = [*batch.columns[:3], pa.array(blobs, pa.binary()), pa.array(counts, pa.int32())]
@@ -379,31 +550,35 @@ def _packed(splitter, frequent: Frequent):
     return run
 
 
-def _unpacked(frequent: Frequent, key: str):
+def _unpacked(shared: Broadcast, key: str):
     """Ids and decoded bytes of texts from their packed numbers and the codes of their own words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Codes = shared.value
+        size_known = len(known.id_ends) - 1
         for batch in batches:
-            blobs, counts, rare = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            at = 0
-            while at < len(blobs):
+            counts, at = batch.column(2).to_pylist(), 0
+            while at < len(counts):
                 stop, size = at, 0
-                while stop < len(blobs) and (stop == at or size + counts[stop] <= _SLICE):
+                while stop < len(counts) and (stop == at or size + counts[stop] <= _GATHER):
                     size += counts[stop]
                     stop += 1
+                keys, blobs, rare = (batch.column(i).slice(at, stop - at) for i in (0, 1, 3))
                 numbers, own, bounds = [], [], [0]
-                for blob, n, more in zip(blobs[at:stop], counts[at:stop], rare[at:stop], strict=True):
+                for blob, n, more in zip(blobs.to_pylist(), counts[at:stop], rare.to_pylist(), strict=True):
                     mine = np.frombuffer(pa.decompress(blob, 4 * n, codec="zstd"), dtype=np.uint8).reshape(4, n).T if n else np.zeros((0, 4), np.uint8)
                     mine = np.ascontiguousarray(mine).view("<u4").reshape(-1).astype(np.int64)
                     more = sorted(more or [], key=lambda r: r["number"])
-                    if np.unique(mine[mine >= frequent.size]).tolist() != [frequent.size + r["number"] for r in more]:
+                    if np.unique(mine[mine >= size_known]).tolist() != [size_known + r["number"] for r in more]:
                         raise RuntimeError("a text's words and their codes don't fit")
-                    numbers.append(np.where(mine >= frequent.size, mine + len(own), mine))
+                    numbers.append(np.where(mine >= size_known, mine + len(own), mine))
                     own += more
                     bounds.append(bounds[-1] + n)
-                codes = frequent.codes.with_more(Codes([r["ids"] for r in own], [r["decoded"].encode() for r in own])) if own else frequent.codes
-                ids, data = codes.joined(np.concatenate(numbers), np.array(bounds))
-                keys = batch.column(0).slice(at, stop - at)
+                used, place = np.unique(np.concatenate(numbers), return_inverse=True)
+                codes = known.some(used[: len(used) - len(own)])
+                if own:
+                    codes = codes.with_more(_read_codes([r["code"] for r in own]))
+                ids, data = codes.joined(place, np.array(bounds))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary()), pa.array(data, pa.binary())], names=[key, "ids", "decoded"])
                 at = stop
 
@@ -419,12 +594,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", rows: i
     keyed = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("k1"), F.xxhash64(text, key).alias("k2"), text.alias("text"))
     words = word_table(keyed.select("text"), vocabulary)
     near = (F.expr(_LEVEL) >= _lowest_level(words, rows, size)) & (F.octet_length("word") <= LONGEST)
-    chosen = words.where(near).orderBy(F.desc("n"), "word").select("word", "ids", "decoded")
-    frequent = Frequent(vocabulary, [(r.word, r.ids, r.decoded) for r in chosen.toLocalIterator()])
-
-    rare = keyed.select("k1", "k2", "text").mapInArrow(_rare(splitter, frequent), "k1 bigint, k2 bigint, number int, word string").distinct()
-    codes = rare.join(words.where(~near).select("word", "ids", "decoded").hint("merge"), "word")
-    lists = codes.groupBy("k1", "k2").agg(F.collect_list(F.struct("number", "ids", "decoded")).alias("rare"))
+    # At most ``rows`` words and ``size`` bytes.
+    context = docs.sparkSession.sparkContext
+    frequent, known = map(context.broadcast, _frequent(vocabulary, words.where(near).orderBy(F.desc("n"), "word")))
+
+    rare = keyed.select("k1", "k2", "text").mapInArrow(_rare(splitter, frequent), "k1 bigint, k2 bigint, number int, word string")
+    coded = words.where(~near).select("word", "ids", "decoded").mapInArrow(_with_code, "word string, code binary")
+    # Repeated rows send the same words, which count once.
+    lists = rare.join(coded.hint("merge"), "word").groupBy("k1", "k2").agg(F.collect_set(F.struct("number", "code")).alias("rare"))
     packed_type = T.StructType([
         T.StructField("key", docs.schema[key].dataType), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
         T.StructField("blob", T.BinaryType()), T.StructField("words", T.IntegerType()),
@@ -432,4 +609,4 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", rows: i
     packed = keyed.mapInArrow(_packed(splitter, frequent), packed_type)
     out = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
     both = packed.join(lists.hint("merge"), ["k1", "k2"], "left").select("key", "blob", "words", "rare")
-    return both.mapInArrow(_unpacked(frequent, key), out)
+    return both.mapInArrow(_unpacked(known, key), out)
