@@ -35,6 +35,8 @@ from loomgraph.session import cut, ship
 FREQUENT = 1 << 18
 SHORT, LONG = 64, 2048
 _BUCKETS = 1 << 16
+# A rank that no piece has, and more places than a piece that is folded has bytes.
+_NO_RANK, _SPAN = 1 << 31, 2 * LONG
 
 
 class Vocabulary:
@@ -46,11 +48,11 @@ class Vocabulary:
         self.pattern = f"(?U){pattern}"
 
     def rank_literal(self) -> Column:
-        """An array of maps from a piece in hexadecimal to its rank; a piece's place is its crc32 modulo the size."""
+        """An array of maps from a piece in hexadecimal to its rank times ``_SPAN``; a piece's place is its crc32 modulo the size."""
         maps: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
         for piece, rank in self.ranks.items():
-            maps[zlib.crc32(piece) % _BUCKETS][piece.hex().upper()] = rank
-        return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+            maps[zlib.crc32(piece) % _BUCKETS][piece.hex().upper()] = rank * _SPAN
+        return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,bigint>>")
 
     def piece_literal(self) -> Column:
         """An array of the pieces by rank."""
@@ -65,55 +67,72 @@ class Vocabulary:
         return F.from_json(F.lit(json.dumps(digits)), "array<string>")
 
 
-def _bound(literal: Column, body) -> Column:
-    """``body`` of a literal that stands in the plan once."""
-    return F.transform(F.array(literal), body)[0]
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that stands in the plan, and is worked out, once.
+
+    A fold over nothing binds its start for the last step. Functions in
+    ``body`` then see a plain variable, whose type Spark needn't derive from
+    the whole expression for every row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda done, _: done, body)
 
 
 def encoded(word: Column, vocabulary: Vocabulary) -> Column:
-    """Ids (array<int>) of a piece given as bytes, by merges in the order of rank."""
+    """Ids (array<int>) of a piece given as bytes, at most ``LONG`` of them, by merges in the order of rank.
+
+    The state is one array with a number for every part: the rank of the part
+    with the next one, and below it the place where the part begins. Its
+    smallest number is the leftmost pair of the lowest rank. A number in front
+    and one behind stand for the ends.
+    """
+
+    none = F.lit(_NO_RANK * _SPAN)
 
     def rank(ranks: Column, piece: Column) -> Column:
         return F.element_at(F.get(ranks, (F.crc32(piece) % _BUCKETS).cast("int")), F.hex(piece))
 
-    def fold(ranks: Column) -> Column:
+    def number(rank: Column, begin: Column) -> Column:
+        return F.coalesce(rank, none) + begin
+
+    def id_of(rank: Column) -> Column:
+        return F.shiftright(rank, _SPAN.bit_length() - 1).cast("int")
+
+    def begin(number: Column) -> Column:
+        return number.bitwiseAND(_SPAN - 1).cast("int")
+
+    def fold(ranks: Column, word: Column) -> Column:
         size = F.octet_length(word)
-        parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
-        pairs = F.transform(
-            F.filter(F.sequence(F.lit(1), size), lambda i: i < size), lambda i: rank(ranks, F.substring(word, i, F.lit(2)))
+
+        def merge(state: Column, low: Column, place: Column) -> Column:
+            """Joins the parts at ``place`` and behind it; both pairs that touch the new part change."""
+            last, here = begin(F.get(state, place - 1)), begin(low)
+            end, beyond = begin(F.get(state, place + 2)), begin(F.get(state, place + 3))
+            before = F.when(place > 1, rank(ranks, F.substring(word, last, end - last)))
+            behind = rank(ranks, F.substring(word, here, beyond - here))
+            changed = F.array(number(before, last), number(behind, here))
+            return _bound(F.array(F.slice(state, 1, place - 1), changed, F.slice(state, place + 3, F.size(state))), F.flatten)
+
+        def turn(state: Column, _: Column) -> Column:
+            def at(low: Column) -> Column:
+                # array_position would find the place, but it leaves its loop by an exception, which costs more than the merge.
+                place = _bound(F.transform(state, lambda n, i: F.when(n == low, i)), F.array_min)
+                return F.when(low >= none, state).otherwise(_bound(place, lambda p: merge(state, low, p)))
+
+            return _bound(F.array_min(state), at)
+
+        def ids(state: Column) -> Column:
+            parts = F.slice(state, 2, F.size(state) - 2)
+            return F.transform(parts, lambda n, i: id_of(rank(ranks, F.substring(word, begin(n), begin(F.get(state, i + 2)) - begin(n)))))
+
+        places = F.sequence(F.lit(1), size)
+        pairs = F.transform(F.slice(places, 1, size - 1), lambda i: number(rank(ranks, F.substring(word, i, F.lit(2))), i))
+        start = F.flatten(F.array(F.array(none), pairs, F.array(none + size, none + size + 1)))
+        merged = _bound(F.aggregate(F.slice(places, 2, size), start, turn), ids)
+        return F.when(size == 0, F.array().cast("array<int>")).otherwise(
+            _bound(rank(ranks, word), lambda single: F.when(single.isNotNull(), F.array(id_of(single))).otherwise(merged))
         )
-        start = F.struct(parts.alias("parts"), pairs.alias("pairs"), F.array_min(pairs).alias("low"))
-
-        def merge(state: Column, _: Column) -> Column:
-            parts, pairs = state["parts"], state["pairs"]
-
-            def at(place: Column) -> Column:
-                joined = F.concat(F.get(parts, place - 1), F.get(parts, place))
-                return F.transform(F.array(joined), lambda piece: replaced(place, piece))[0]
-
-            def replaced(place: Column, piece: Column) -> Column:
-                before = F.when(place > 1, F.array(rank(ranks, F.concat(F.get(parts, place - 2), piece)))).otherwise(F.array().cast("array<int>"))
-                behind = F.when(place < F.size(pairs), F.array(rank(ranks, F.concat(piece, F.get(parts, place + 1))))).otherwise(
-                    F.array().cast("array<int>")
-                )
-                return F.struct(
-                    F.concat(F.slice(parts, 1, place - 1), F.array(piece), F.slice(parts, place + 2, F.size(parts))).alias("parts"),
-                    F.concat(F.slice(pairs, 1, F.greatest(place - 2, F.lit(0))), before, behind, F.slice(pairs, place + 2, F.size(pairs))).alias("pairs"),
-                )
-
-            place = F.array_position(pairs, state["low"]).cast("int")
-            moved = F.transform(F.array(place), at)[0]
-            again = F.transform(
-                F.array(moved), lambda m: F.struct(m["parts"].alias("parts"), m["pairs"].alias("pairs"), F.array_min(m["pairs"]).alias("low"))
-            )[0]
-            return F.when(state["low"].isNull(), state).otherwise(again)
-
-        merged = F.aggregate(F.sequence(F.lit(1), size), start, merge, lambda state: state["parts"])
-        single = rank(ranks, word)
-        ids = F.transform(merged, lambda piece: rank(ranks, piece))
-        return F.when(size == 0, F.array().cast("array<int>")).when(single.isNotNull(), F.array(single)).otherwise(ids)
-
-    return _bound(vocabulary.rank_literal(), fold)
+
+    return _bound(vocabulary.rank_literal(), lambda ranks: _bound(word, lambda w: fold(ranks, w)))
 
 
 def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
