@@ -290,3 +290,26 @@ def test_language_model_learns_from_every_training_row_once(spark, frame, odd_ro
     want = Counter(text for id_, text, *_ in rows if learns(id_))
     dealt = [Counter(r.text for r in language_model.round_texts(seen[0], turn, 3).toLocalIterator()) for turn in range(3)]
     assert sum(dealt, Counter()) == Counter(r.text for r in seen[0].toLocalIterator()) == want and all(dealt)
+
+
+def test_held_out_texts_score_no_worse_than_by_counting_words(spark, frame):
+    random_ = random.Random(8)
+    phrases = [prose(300 + j, 6) for j in range(30)]
+    rows = [(i, " ".join(random_.choices(phrases, k=10))) for i in range(150)] + [(200, "x" * 30_000), (201, "\u2003 \U0001f600" * 40), (202, None), (203, prose(5, 60).upper())]
+    got = list(language_model.scored(frame(rows), language_model.held_out(F.col("doc_id")), tokenizer("byte_bpe_50k.tiktoken")).toLocalIterator())
+    assert len(got) == len(rows) and all(math.isfinite(r.score) and r.score < 0 for r in got)
+    held = [r for r in got if r.held_out and r.doc_id < 200]
+    assert len(held) > 10 and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_followers_and_spelling_share_out_one(spark):
+    draw = np.random.Generator(np.random.PCG64(5))
+    known, end = np.bincount(draw.integers(0, 6, 300), minlength=6), 20
+    pairs = np.arange(49)[draw.random(49) < 0.5]
+    n = np.minimum(np.append(known, end)[pairs // 7] // 7, 9)
+    followers = language_model.Followers(pairs[n > 1], n[n > 1], known, end)
+    counts = (np.append(known, end) + 1) / (known.sum() + end + 8)
+    for before in range(-1, 7):
+        share, left = followers.of(np.arange(7), np.full(7, before))
+        # What is missing is for the unseen words, which are one.
+        assert math.isclose((share + left * counts).sum() + left[0] * counts.min() / (np.append(known, end) + 1).min(), 1) and (left > 0).all()
