@@ -23,7 +23,7 @@ HEADLINE = [
     "t1_neighbors", "t4_structural_summary", "t7_ground_responses",
 ]
 # Tables the queries read; writing them is the build of the graph.
-GRAPH_TABLES = ["nodes", "raw_edges", "edges", "concepts", "files", "central", "homes", "regions", "region_edges"]
+GRAPH_TABLES = ["nodes", "raw_imports", "raw_calls", "imports", "calls", "outline", "concepts", "files", "central", "homes", "regions", "region_edges"]
 # Derived inputs of later queries, written outside the timings of those.
 INPUT_TABLES = ["signatures", "events", "understood", "visited", "claims", "communities", "hops", "documents", "sources", "facts",
                 "neighbors", "lens"]

@@ -21,7 +21,7 @@ def p2_understood(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_visited(spark: SparkSession, folder: str) -> DataFrame:
     w = Warehouse(spark, folder)
-    return ops.visited(w.events, w.regions)
+    return ops.visited(w.events, w.outline)
 
 
 def p4_reset(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +41,7 @@ def p6_hydrate(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_hydrate_regions(spark: SparkSession, folder: str) -> DataFrame:
     w = Warehouse(spark, folder)
-    return ops.hydrate(w.regions.select("project", "region", "node_count"), w.understood)
+    return ops.hydrate(w.outline.select("project", "region", "node_count"), w.understood)
 
 
 def p7_recents(spark: SparkSession, folder: str) -> DataFrame:

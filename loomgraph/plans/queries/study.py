@@ -19,7 +19,7 @@ PROVIDER, MODEL = "local", "small"
 
 def t1_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     w = Warehouse(spark, folder)
-    return ops.neighbors(w.nodes, w.edges)
+    return ops.neighbors(w.nodes, w.raw_edges)
 
 
 def _spans(w: Warehouse) -> DataFrame:
@@ -125,7 +125,7 @@ def p8_progress_stream(spark: SparkSession, folder: str) -> DataFrame:
         "pathGlobFilter", "events.parquet").parquet(folder)
     checkpoint = scratch_path(spark, "progress")
     stream_ops.run(views.progress_events(spark, folder, w.signatures, raw), checkpoint).awaitTermination()
-    return stream_ops.view(stream_ops.read_state(spark, checkpoint), w.signatures, w.regions)
+    return stream_ops.view(stream_ops.read_state(spark, checkpoint), w.signatures, w.outline)
 
 
 QUERIES = {

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.hashing import hash_fraction
 from loomgraph.functions.paths import is_learner_test_scoped, is_test_scoped, parent_directory, path_tail
 from loomgraph.operators import canonical as ops
+from loomgraph.plans import warehouse
 from loomgraph.schema import CONCEPTS, FILES
 
 
@@ -116,3 +117,19 @@ def test_graphs_of_languages_are_composed_whole(graph, spark):
     assert rows(ops.compose_unsupported([tally, tally])) == [("p", ".c", "C", 4), ("p", ".h", None, 2)]
     with pytest.raises(Exception, match="duplicate node id"):
         ops.compose([one, one]).nodes.collect()
+
+
+def test_queries_build_only_the_kinds_of_edges_they_read(spark, monkeypatch):
+    """Imports alone give region edges; what needs no centrality needs no edges; the two kinds add up to all edges."""
+    monkeypatch.setattr(warehouse, "_BUILT", {})
+    folder = "/root/testdata/sf0.001"
+    w = warehouse.Warehouse(spark, folder)
+    w.visited.count()
+    assert not {"imports", "calls", "raw_imports", "raw_calls"} & set(w._tables)
+    w.hops.count()
+    assert not {"calls", "raw_calls"} & set(w._tables)
+    w.layers.count()
+    assert "calls" not in w._tables
+    assert {r.kind for r in w.imports.select("kind").distinct().toLocalIterator()} == {"import"}
+    assert rows(w.edges) == rows(ops.dedup_edges(w.raw_edges))
+    assert rows(w.outline) == rows(w.regions.select(*w.outline.columns))
