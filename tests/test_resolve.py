@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from loomgraph.operators import resolve
+from loomgraph.plans import warehouse
+from loomgraph.plans.queries import all_queries
 
 CALLS, DEFS = "project string, owner_id string, call_no int, leaf string", "project string, leaf string, dst string"
 
@@ -41,3 +43,18 @@ def test_a_name_defined_and_called_thousands_of_times_is_spread(spark):
             spark.conf.set(key, value)
     assert sum(sizes) == 3000 * 2000 + 200 * 6 and len(sizes) == 16
     assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+def test_each_tier_is_a_job_of_its_own(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(resolve, "cut", lambda df, label="step": written.append(label) or df)
+    tiers = [spark.createDataFrame([(k, f"{k}{n}", True, False)], "k string, dst string, certain boolean, external boolean")
+             for n, k in enumerate("aab")]
+    found = resolve.tiered(["k"], tiers)
+    assert sorted(r.dst for r in found.toLocalIterator()) == ["a0", "b2"] and written == ["candidates"] * 3
+
+
+def test_import_queries_write_only_the_facts_they_read(spark, monkeypatch):
+    monkeypatch.setattr(warehouse, "_BUILT", {})
+    all_queries()["r5_rust_use"](spark, "/root/testdata/sf0.001")
+    assert set(warehouse.Warehouse(spark, "/root/testdata/sf0.001")._tables) == {"rust_uses", "rust_files", "rust_inline_mods"}
