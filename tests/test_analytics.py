@@ -175,6 +175,21 @@ def test_long_chains_and_rings_end_in_logarithmic_rounds(spark, monkeypatch):
     assert seen["offers"] <= 2 * 7
 
 
+def test_label_rounds_write_numbers_and_not_ids(spark, monkeypatch):
+    written, write = {}, ops.cut
+
+    def cut(df, label="step"):
+        written.setdefault(label, []).append(df.dtypes)
+        return write(df, label)
+
+    monkeypatch.setattr(ops, "cut", cut)
+    names = [f"n{i}" for i in range(9)]
+    pairs = [(a, b) for a, b in zip(names, names[1:])]
+    found = ops.propagate_labels(spark.createDataFrame([("p", a, b) for a, b in pairs + [(b, a) for a, b in pairs]], "project string, a string, b string"))
+    assert found.count() == 9 and len(written["labels"]) > 1
+    assert {kind for label in ("links", "labels", "voters") for table in written[label] for _, kind in table} <= {"bigint", "boolean"}
+
+
 def test_a_star_leaves_no_hot_task(spark, graph):
     from loomgraph.operators.resolve import split_join
 
