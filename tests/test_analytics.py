@@ -175,6 +175,28 @@ def test_long_chains_and_rings_end_in_logarithmic_rounds(spark, monkeypatch):
     assert seen["offers"] <= 2 * 7
 
 
+def test_rings_end_in_logarithmic_rounds_whatever_the_order_of_their_ids(spark, monkeypatch):
+    names = [f"n{i:03d}" for i in range(200)]
+    # Against the links, the least id would travel the whole ring; a chain hangs from it, and leads to a node of two predecessors.
+    links = [(b, a) for a, b in zip(names, names[1:] + names[:1])] + [("n100", "x0"), ("x0", "x1"), ("x1", "z"), ("n050", "z")]
+    seen = counting(monkeypatch, "jumped", "offers")
+    found = dict(rows(ops.least_reaching(linked(spark, links)), "id", "label"))
+    assert found == dict.fromkeys([*names, "x0", "x1", "z"], "n000")
+    assert seen["jumped"] <= 10 and seen["offers"] <= 2
+
+
+def test_least_reaching_is_that_of_brute_force(spark):
+    for seed in (4, 5):
+        picks = random.Random(seed)
+        names = [f"n{i:02d}" for i in range(30)]
+        links = sorted({(a, b) for a, b in ((picks.choice(names), picks.choice(names)) for _ in range(36)) if a != b})
+        least = {n: n for n in {n for link in links for n in link}}
+        for _ in names:
+            for a, b in links:
+                least[b] = min(least[a], least[b])
+        assert dict(rows(ops.least_reaching(linked(spark, links)), "id", "label")) == least
+
+
 def test_label_rounds_write_numbers_and_not_ids(spark, monkeypatch):
     written, write = {}, ops.cut
 
