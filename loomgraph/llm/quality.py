@@ -189,8 +189,11 @@ def score(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, whole and with their own columns.
 
-    Measures are worked out again beside the texts, so texts are never shuffled.
+    Texts are measured once: those that pass the base test are written with their votes, and never shuffled.
     """
-    shut = docs.select(F.struct("*").alias("_own"), "text")
-    p_good = cut(estimated(counted(measured(docs.select("text", F.xxhash64("text").alias("_text"))))), "votes")
-    return judged(measured(shut), p_good).where("kept").select("_own.*")
+    m = F.col("_m")
+    shut = measured(docs.select(F.struct("*").alias("_own"), "text", F.xxhash64("text").alias("_text")))
+    passed = cut(shut.where(~base_failed(m)).select("_own", "_text", vote_code(m).alias("code")), "passed")
+    p_good = estimated(passed.select("code", "_text").distinct().groupBy("code").agg(F.count("*").alias("n")))
+    # As in ``judged``: a row per vector of votes.
+    return passed.join(F.broadcast(p_good), "code").where("p_good >= 0.5").select("_own.*")

@@ -68,6 +68,16 @@ def test_quality_measures_match_brute_force(spark, frame, odd_rows):
     assert quality.score(frame([])).count() == 0
 
 
+def test_kept_documents_are_measured_once(frame, odd_rows, monkeypatch):
+    seen, measure = [], quality.measured
+    monkeypatch.setattr(quality, "measured", lambda docs: seen.append(docs) or measure(docs))
+    kept = quality.keep_good(frame(odd_rows))
+    verdicts = [r.doc_id for r in quality.score(frame(odd_rows)).toLocalIterator() if r.kept]
+    order = lambda i: (i is None, i or 0)
+    assert sorted([r.doc_id for r in kept.toLocalIterator()], key=order) == sorted(verdicts, key=order) and verdicts
+    assert len(seen) == 2  # One of them is that of the scores.
+
+
 def test_quality_rules_find_junk_and_keep_clean_texts(spark, frame):
     from tests.llm.conftest import prose
 
