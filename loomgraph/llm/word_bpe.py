@@ -8,8 +8,8 @@ The ids come back to the texts by position. The most frequent words, a table of
 bounded rows and bytes, are sent to every task; each text leaves it as a packed
 list of places in that table, and its other distinct words as rows of their own,
 which are joined with the table of words and then, by text, with the packed lists.
-So neither texts nor words that occur often are shuffled. Texts are known by two
-64-bit hashes of id and text, words in the frequent table by 96 bits of hash of their characters.
+So neither texts nor words that occur often are shuffled. Texts are known by 95
+bits of hash of id and text, words in the frequent table by 96 bits of hash of their characters.
 
 How the vocabulary's file normalises (composed characters, lower case) and which
 characters are letters or digits is asked of the file's own normaliser and splitter,
@@ -503,26 +503,35 @@ def _numbered(splitter, frequent: Frequent, texts: Iterable[str | None]) -> Iter
         yield found()
 
 
-def _with_code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _id_kind(vocabulary: Vocabulary) -> str:
+    """The shortest whole numbers that hold every id, for what is shuffled."""
+    return "<u2" if max(vocabulary.pieces) < 1 << 16 else "<u4"
+
+
+def _with_code(kind: str):
     """Words with their codes in one value: how many ids, the ids, and the decoded bytes."""
-    for batch in batches:
-        codes = [
-            np.array([len(ids), *ids], dtype="<u4").tobytes() + decoded.encode()
-            for ids, decoded in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-        ]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], names=["word", "code"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [
+                len(ids).to_bytes(4, "little") + np.array(ids, dtype=kind).tobytes() + decoded.encode()
+                for ids, decoded in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], names=["word", "code"])
+
+    return run
 
 
-def _read_codes(codes: list[bytes]) -> Codes:
-    sizes = [int.from_bytes(c[:4], "little") for c in codes]
+def _read_codes(codes: list[bytes], kind: str) -> Codes:
+    sizes, width = [int.from_bytes(c[:4], "little") for c in codes], np.dtype(kind).itemsize
     return Codes.of(
-        [np.frombuffer(c, dtype="<u4", count=n, offset=4).tolist() for c, n in zip(codes, sizes, strict=True)],
-        [c[4 + 4 * n :] for c, n in zip(codes, sizes, strict=True)])
+        [np.frombuffer(c, dtype=kind, count=n, offset=4).tolist() for c, n in zip(codes, sizes, strict=True)],
+        [c[4 + width * n :] for c, n in zip(codes, sizes, strict=True)])
 
 
 def _rare(splitter, shared: Broadcast):
     """The words of each text that the frequent table lacks, with their numbers in it."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("number", pa.int32()), ("word", pa.string())])
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("number", pa.int32()), ("word", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -550,7 +559,7 @@ def _packed(splitter, shared: Broadcast):
     return run
 
 
-def _unpacked(shared: Broadcast, key: str):
+def _unpacked(shared: Broadcast, key: str, kind: str):
     """Ids and decoded bytes of texts from their packed numbers and the codes of their own words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -577,7 +586,7 @@ def _unpacked(shared: Broadcast, key: str):
                 used, place = np.unique(np.concatenate(numbers), return_inverse=True)
                 codes = known.some(used[: len(used) - len(own)])
                 if own:
-                    codes = codes.with_more(_read_codes([r["code"] for r in own]))
+                    codes = codes.with_more(_read_codes([r["code"] for r in own], kind))
                 ids, data = codes.joined(place, np.array(bounds))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary()), pa.array(data, pa.binary())], names=[key, "ids", "decoded"])
                 at = stop
@@ -588,25 +597,26 @@ def _unpacked(shared: Broadcast, key: str):
 def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", rows: int = FREQUENT, size: int = FREQUENT_BYTES) -> DataFrame:
     """``key, ids, decoded`` of every text: ids as little-endian 32-bit integers, and the UTF-8 bytes of the text they decode to."""
     ship(docs.sparkSession)
-    splitter = _splitter(vocabulary)
+    splitter, kind = _splitter(vocabulary), _id_kind(vocabulary)
     text = whole(F.col("text"))
-    # The two hashes see the id and the text in turn.
-    keyed = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("k1"), F.xxhash64(text, key).alias("k2"), text.alias("text"))
+    # The two hashes see the id and the text in turn. They are shuffled with every rare word, so 95 bits are kept.
+    second = F.xxhash64(text, key).bitwiseAND(0x7FFFFFFF).cast("int")
+    keyed = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("k1"), second.alias("k2"), text.alias("text"))
     words = word_table(keyed.select("text"), vocabulary)
     near = (F.expr(_LEVEL) >= _lowest_level(words, rows, size)) & (F.octet_length("word") <= LONGEST)
     # At most ``rows`` words and ``size`` bytes.
     context = docs.sparkSession.sparkContext
     frequent, known = map(context.broadcast, _frequent(vocabulary, words.where(near).orderBy(F.desc("n"), "word")))
 
-    rare = keyed.select("k1", "k2", "text").mapInArrow(_rare(splitter, frequent), "k1 bigint, k2 bigint, number int, word string")
-    coded = words.where(~near).select("word", "ids", "decoded").mapInArrow(_with_code, "word string, code binary")
+    rare = keyed.select("k1", "k2", "text").mapInArrow(_rare(splitter, frequent), "k1 bigint, k2 int, number int, word string")
+    coded = words.where(~near).select("word", "ids", "decoded").mapInArrow(_with_code(kind), "word string, code binary")
     # Repeated rows send the same words, which count once.
     lists = rare.join(coded.hint("merge"), "word").groupBy("k1", "k2").agg(F.collect_set(F.struct("number", "code")).alias("rare"))
     packed_type = T.StructType([
-        T.StructField("key", docs.schema[key].dataType), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
+        T.StructField("key", docs.schema[key].dataType), T.StructField("k1", T.LongType()), T.StructField("k2", T.IntegerType()),
         T.StructField("blob", T.BinaryType()), T.StructField("words", T.IntegerType()),
     ])
     packed = keyed.mapInArrow(_packed(splitter, frequent), packed_type)
     out = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
     both = packed.join(lists.hint("merge"), ["k1", "k2"], "left").select("key", "blob", "words", "rare")
-    return both.mapInArrow(_unpacked(known, key), out)
+    return both.mapInArrow(_unpacked(known, key, kind), out)

@@ -4,6 +4,7 @@ import random
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -74,3 +75,13 @@ def test_table_of_words_holds_each_once(spark, frame, library, vocabulary):
 def test_other_vocabularies_are_refused():
     with pytest.raises((ValueError, KeyError)):
         word_bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_codes_of_rare_words_take_no_more_bytes_than_the_ids_need(vocabulary):
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab", "c"]), pa.array([[1, 65535], [7]], pa.list_(pa.int32())), pa.array(["a b", "c"])], names=["word", "ids", "decoded"])
+    for kind, width in ((word_bpe._id_kind(vocabulary), 2), ("<u4", 4)):
+        (out,) = word_bpe._with_code(kind)([batch])
+        codes = out.column(1).to_pylist()
+        assert [len(c) for c in codes] == [4 + 2 * width + 3, 4 + width + 1]
+        read = word_bpe._read_codes(codes, kind)
+        assert read.ids.tolist() == [1, 65535, 7] and read.data.tobytes() == b"a b c "
