@@ -10,7 +10,9 @@ filters, and each pair of sets is verified exactly and at most once.
 Equal sets are one node throughout. In a first round every set is verified
 against one partner at most: among the sets in which a shingle of its prefix
 stands earliest, which have the fewest rare shingles of their own, the one that
-leads most of its groups. Then all further candidate pairs are verified
+leads most of its groups. Such rounds go on over the groups whose sets are not
+all in one component, each set with a partner of another component, while they
+find links. Then all further candidate pairs are verified
 whose two sets are not yet in one component; a pair inside a component could
 not change the result. So a large group of near copies costs about one pair per
 copy, and no pair that could join two components is left out. Shingles in very
@@ -43,6 +45,10 @@ BITS = 22
 MARK_BITS = 26
 # Linked sets that differ share so many shingles in their prefixes, which are longer by as many.
 COMMON = 2
+# Rounds of one partner for every set go on while more than one in so many pairs is a link.
+FEW = 50
+# They are run only where the groups' squares come to more than so many times their rows.
+CROWDED = 16
 _CHUNK = 1 << 16
 SALTS = 16
 
@@ -264,31 +270,79 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
     # What a set shares with any other lies from its first shared shingle on.
     first = F.min("e.pos").over(Window.partitionBy("sid"))
     placed = members.withColumn("sid", F.col("e.sid")).withColumn("e", F.col("e").withField("first", first))
-    rooted = placed.join(roots.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").select(
-        "token", "e", F.coalesce("root", F.col("e.sid")).alias("root")
-    )
-    rooted = cut(rooted, "rooted")
     # An entry too late in its set for the smallest set of its group can pair with none.
-    least = rooted.groupBy("token").agg(F.min("e.n").alias("least"))
+    least = placed.groupBy("token").agg(F.min("e.n").alias("least"))
     most = F.least(F.col("e.n") - F.col("e.first"), F.col("e.n") - F.col("e.pos") + COMMON - 1)
-    able = rooted.join(least.hint("merge"), "token").where(percent * (F.col("e.n") + F.col("least")) <= (100 + percent) * most)
-    able = cut(able.drop("least"), "able")
-    open_groups = able.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    left = cut(able.join(open_groups.hint("merge"), "token", "left_semi"), "open")
-    crossing = left.alias("p").join(left.alias("q").hint("merge"), (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")))
-    from_first = F.least(F.col("p.e.n") - F.col("p.e.first"), F.col("q.e.n") - F.col("q.e.first"))
-    enough = from_first >= _overlap_needed(F.col("p.e.n"), F.col("q.e.n"), percent)
-    crossing = crossing.where(_may_link(F.col("p.e"), F.col("q.e"), percent) & enough).select(
-        F.least("p.e.sid", "q.e.sid").alias("a"), F.greatest("p.e.sid", "q.e.sid").alias("b")
-    )
-    crossing = crossing.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("a", "b")
-    again = cut(crossing.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "crossing")
+    able = placed.join(least.hint("merge"), "token").where(percent * (F.col("e.n") + F.col("least")) <= (100 + percent) * most)
+    left = cut(able.select("token", "e", "sid"), "able")
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = cut(_open(left, roots), "open")
+    while _crowded(left):
+        pairs = cut(_starred_again(left, percent).join(tried, ["a", "b"], "left_anti"), "stars")
+        wanted = pairs.count()
+        found = cut(_verified(pairs, docs, nodes, percent), "links") if wanted else pairs
+        new = found.count()
+        tried = tried.union(pairs)
+        if new:
+            links = links.union(found)
+            roots = components(links)
+            left = cut(_open(left.select("token", "e", "sid"), roots), "open")
+        # Only a matter of time: what such rounds leave is crossed.
+        if new * FEW <= wanted:
+            break
+    again = cut(_crossing(left, percent).join(tried, ["a", "b"], "left_anti"), "crossing")
     more = None if again.isEmpty() else cut(_verified(again, docs, nodes, percent), "links")
     if more is None or more.isEmpty():
         return rows, roots.withColumnRenamed("node", "sid")
     return rows, components(links.union(more)).withColumnRenamed("node", "sid")
 
 
+def _open(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """``token, e, sid, root`` of the entries in groups whose sets lie in more than one component."""
+    rooted = entries.join(roots.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    ends = rooted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
+    return rooted.join(ends.hint("merge"), "token", "left_semi").select("token", "e", "sid", "root")
+
+
+def _crowded(left: DataFrame) -> bool:
+    rows, squares = left.groupBy("token").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+    return (squares or 0) > CROWDED * (rows or 0)
+
+
+def _from_first(a: Column, b: Column) -> Column:
+    return F.least(a["n"] - a["first"], b["n"] - b["first"])
+
+
+def _may_cross(a: Column, b: Column, percent: int) -> Column:
+    return _may_link(a, b, percent) & (_from_first(a, b) >= _overlap_needed(a["n"], b["n"], percent))
+
+
+def _starred_again(left: DataFrame, percent: int) -> DataFrame:
+    """One pair (a, b) for every set at most, with a set of another component.
+
+    A group's partners are its earliest entry, and the earliest of all other components for those in the
+    first one's. Of its partners a set takes the one it meets in most groups.
+    """
+    lead = left.groupBy("token").agg(F.min(F.struct("e.pos", "e.sid", "e", "root")).alias("one"))
+    both = left.join(lead.hint("merge"), "token")
+    other = both.where(F.col("root") != F.col("one.root")).groupBy("token").agg(F.min(F.struct("e.pos", "e.sid", "e", "root")).alias("two"))
+    met = both.join(other.hint("merge"), "token")
+    met = met.withColumn("hub", F.when(F.col("root") != F.col("one.root"), F.col("one.e")).otherwise(F.col("two.e")))
+    counts = met.where(_may_cross(F.col("e"), F.col("hub"), percent)).groupBy(F.col("hub.sid").alias("h"), "sid").agg(F.count("*").alias("n"))
+    best = Window.partitionBy("sid").orderBy(F.desc("n"), "h")
+    chosen = counts.where(F.col("n") >= COMMON).withColumn("place", F.row_number().over(best)).where("place = 1")
+    return chosen.select(F.least("h", "sid").alias("a"), F.greatest("h", "sid").alias("b")).distinct()
+
+
+def _crossing(left: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of sets of two components that may link."""
+    crossing = left.alias("p").join(left.alias("q").hint("merge"), (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")))
+    crossing = crossing.where(_may_cross(F.col("p.e"), F.col("q.e"), percent)).select(
+        F.least("p.e.sid", "q.e.sid").alias("a"), F.greatest("p.e.sid", "q.e.sid").alias("b")
+    )
+    return crossing.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("a", "b")
+
+
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per document."""
     rows, roots = linked_sets(docs, percent)

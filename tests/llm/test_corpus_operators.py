@@ -148,6 +148,17 @@ def test_salted_groups_lose_no_link(spark, frame):
     assert len({r[2] for r in got}) == len({r[2] for r in grouped(rows[:400])}) == 1
 
 
+def test_groups_that_do_not_all_link_get_more_rounds_of_one_partner(spark, frame, monkeypatch):
+    text, written, plain = prose(70, 130), [], ngram_join.cut
+    monkeypatch.setattr(ngram_join, "cut", lambda df, label="step": written.append((label, plain(df, label))) or written[-1][1])
+    monkeypatch.setattr(ngram_join, "CROWDED", 0, raising=False)
+    rows = [(i, edited(text, i, 1 + i % 4)) for i in range(120)]
+    got = sorted(map(tuple, ngram_join.near_groups(frame(rows)).toLocalIterator()), key=repr)
+    assert got == grouped(rows) and len({r[2] for r in got}) > 1
+    rounds = [df.count() for label, df in written if label == "stars"]
+    assert len(rounds) > 1 and max(rounds) <= len(rows)
+
+
 def test_one_of_each_keeps_clean_documents_and_columns(spark, frame, odd_rows):
     kept = ngram_join.one_of_each(frame(odd_rows))
     assert kept.columns == frame([]).columns
