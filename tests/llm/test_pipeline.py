@@ -78,3 +78,20 @@ def test_stages_take_an_empty_table(spark, frame):
 def test_each_operator_has_one_query(spark):
     assert [n.split("_")[0] for n in QUERIES] and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(SQL) <= set(QUERIES) and len(corpus_pipeline.STAGES) == 5
+
+
+def test_mixing_shuffles_a_text_to_its_parts_and_to_its_shards_only(spark, frame):
+    texts = []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.initialPlan())
+        if node.nodeName() == "Exchange":
+            # A group's buffer is called after its function.
+            texts.extend(re.findall(r"(?:text|first|valueSet): string", node.schema().treeString()))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    mixed = corpus_pipeline.mixed_to_weights(spark, frame([(i, prose(i, 60), f"s{i % 2}") for i in range(6)]), "")
+    walk(mixed._jdf.queryExecution().executedPlan())
+    assert len(texts) == 2
