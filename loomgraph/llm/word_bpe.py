@@ -22,6 +22,7 @@ included; repeated rows each have their own result; an empty table gives an empt
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import json
 import re
@@ -43,7 +44,7 @@ from loomgraph.session import cut, ship
 FREQUENT, FREQUENT_BYTES, LONGEST = 1 << 19, 1 << 26, 4096
 # Words are counted in so many buckets; a task sends its counts on when it holds so many words.
 BUCKETS, HELD_WORDS = 1024, 1 << 17
-_SLICE, _GATHER = 1 << 17, 1 << 16
+_SLICE, _GATHER, _ENCODED = 1 << 17, 1 << 16, 1 << 13
 _SPACE, _LETTER, _NUMBER, _OTHER, _SPECIAL, _UNKNOWN = range(6)
 # Special tokens stand in a text as surrogates, which no text can hold.
 _MARK = 0xD800
@@ -235,6 +236,18 @@ def _texts(column: pa.Array) -> Iterator[str | None]:
     pa.default_memory_pool().release_unused()
 
 
+def _tidy(run):
+    """``run``, giving back at its end what it has freed: workers live on and share their executor's memory."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return tidied
+
+
 def _splitter(vocabulary: Vocabulary):
     settings, specials = vocabulary.settings, list(vocabulary.specials)
     return lambda: Splitter.of(settings, specials)
@@ -271,46 +284,46 @@ def _counted(splitter):
         if held:
             yield from packed(held)
 
-    return run
+    return _tidy(run)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, int]]:
     """Distinct words with their counts over all tasks, a bucket at a time."""
     bucket, held = None, {}
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
     for batch in batches:
         for b, sizes, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != bucket and held:
-                yield done()
+                yield held
                 held = {}
             bucket = b
             words, counts = (pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip((words, counts), sizes, strict=True))
             for word, n in zip(words.decode().split("\n"), np.frombuffer(counts, dtype=np.int64).tolist(), strict=True):
                 held[word] = held.get(word, 0) + n
     if held:
-        yield done()
+        yield held
 
 
 def _encoded(vocabulary: Vocabulary):
+    """The words of each bucket with their counts and ids. One worker adds up and encodes, since each takes its share of the executor's memory."""
     inner, last, pairs = vocabulary.inner, vocabulary.last, vocabulary.pairs
-    kind = pa.list_(pa.int32())
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [merged([*(inner[b] for b in word[:-1]), last[word[-1]]], pairs) for word in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, kind)], names=["word", "n", "ids"])
+        for held in _summed(batches):
+            rows = list(held.items())
+            for at in range(0, len(rows), _ENCODED):
+                words, counts = zip(*rows[at : at + _ENCODED], strict=True)
+                data = [word.encode() for word in words]
+                ids = [merged([*(inner[b] for b in word[:-1]), last[word[-1]]], pairs) for word in data]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((words, counts, ids), schema.types, strict=True)], schema=schema)
 
-    return run
+    return _tidy(run)
 
 
 def word_table(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``word, n, ids, decoded`` of every distinct word of one column of texts: count, ids, and the ids' pieces joined by blanks."""
     parts = texts.mapInArrow(_counted(_splitter(vocabulary)), "bucket int, sizes array<bigint>, words binary, counts binary")
-    counts = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "word string, n bigint")
-    coded = counts.mapInArrow(_encoded(vocabulary), "word string, n bigint, ids array<int>")
+    coded = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(vocabulary), "word string, n bigint, ids array<int>")
     # One row per id of the vocabulary.
     pieces = F.broadcast(texts.sparkSession.createDataFrame(list(vocabulary.pieces.items()), "id int, piece string"))
     placed = coded.select("word", "n", F.size("ids").alias("size"), F.posexplode("ids").alias("pos", "id")).join(pieces, "id")
@@ -541,7 +554,7 @@ def _rare(splitter, shared: Broadcast):
             columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    return run
+    return _tidy(run)
 
 
 def _packed(splitter, shared: Broadcast):
@@ -556,7 +569,7 @@ def _packed(splitter, shared: Broadcast):
             columns = [*batch.columns[:3], pa.array(blobs, pa.binary()), pa.array(counts, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "k1", "k2", "blob", "words"])
 
-    return run
+    return _tidy(run)
 
 
 def _unpacked(shared: Broadcast, key: str, kind: str):
@@ -591,7 +604,7 @@ def _unpacked(shared: Broadcast, key: str, kind: str):
                 yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary()), pa.array(data, pa.binary())], names=[key, "ids", "decoded"])
                 at = stop
 
-    return run
+    return _tidy(run)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", rows: int = FREQUENT, size: int = FREQUENT_BYTES) -> DataFrame:

@@ -85,3 +85,21 @@ def test_codes_of_rare_words_take_no_more_bytes_than_the_ids_need(vocabulary):
         assert [len(c) for c in codes] == [4 + 2 * width + 3, 4 + width + 1]
         read = word_bpe._read_codes(codes, kind)
         assert read.ids.tolist() == [1, 65535, 7] and read.data.tobytes() == b"a b c "
+
+
+def test_one_worker_adds_up_and_encodes_the_words_of_its_buckets(library, vocabulary, monkeypatch):
+    monkeypatch.setattr(word_bpe, "_ENCODED", 7)
+    texts = [prose(i, 60) for i in range(4)]
+    counted = word_bpe._counted(word_bpe._splitter(vocabulary))
+    parts = [pa.Table.from_batches(counted(iter([pa.RecordBatch.from_arrays([pa.array([t])], names=["text"])]))) for t in texts]
+    parts = pa.concat_tables(parts).sort_by("bucket").to_batches(max_chunksize=5)
+    found = list(word_bpe._encoded(vocabulary)(iter(parts)))
+    assert all(b.num_rows <= 7 for b in found)
+    rows = {r["word"]: r for b in found for r in b.to_pylist()}
+    counts = {}
+    for text in texts:
+        for word, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text)):
+            word = bytes(word_bpe.byte_characters().index(c) for c in word).decode()
+            counts[word] = counts.get(word, 0) + 1
+    assert {w: r["n"] for w, r in rows.items()} == counts and sum(b.num_rows for b in found) == len(counts)
+    assert all(r["ids"] == library.encode(w, add_special_tokens=False).ids for w, r in rows.items())
