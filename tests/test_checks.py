@@ -50,3 +50,18 @@ def test_suite_grade_and_completion(graph, spark):
     assert rows(shown, "submission_id", "answer") == [("right", "a"), ("right", "c")]
     passes = spark.createDataFrame([(1, "p", check)], "learner_id long, project string, check_id string")
     assert rows(ops.completion(passes, suite), "region", "passed", "needed", "complete") == [("b", 1, 2, False)]
+
+
+def test_answers_far_from_the_first_places_are_only_counted(graph, spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(ops, "cut", lambda df, label: kept.setdefault(label, df))
+    names = [f"m.f{i:02d}" for i in range(40)]
+    nodes, _ = graph([("m", "module", "m")] + [(n, "function", "m") for n in names])
+    picked = [(f"c{i}", n) for i, n in enumerate(names)] + [("many", n) for n in names[20:]]
+    table = spark.createDataFrame([("p", c, "first-call", a) for c, a in picked], "project string, check_id string, kind string, option_id string")
+    got = rows(ops.wrong_options(table, ops.option_pools(nodes)), "check_id", "slot", "option_id")
+    assert [g for g in got if g[0] in ("c1", "c39", "many")] == [
+        ("c1", 1, "m.f00"), ("c1", 2, "m.f02"), ("c1", 3, "m.f03"), ("c39", 1, "m.f00"), ("c39", 2, "m.f01"), ("c39", 3, "m.f02"),
+        ("many", 1, "m.f00"), ("many", 2, "m.f01")]
+    # One answer: places 0 to 3; twenty: places 0 to 22.
+    assert kept["held_places"].count() == 4 + 3
