@@ -324,3 +324,31 @@ def test_followers_and_spelling_share_out_one(spark):
         share, left = followers.of(np.arange(7), np.full(7, before))
         # What is missing is for the unseen words, which are one.
         assert math.isclose((share + left * counts).sum() + left[0] * counts.min() / (np.append(known, end) + 1).min(), 1) and (left > 0).all()
+
+
+def test_every_pair_of_training_words_counts(spark, frame, odd_rows, monkeypatch):
+    """Each text's score against a loop over all pairs in plain Python, few words and pairs being at hand in the tasks."""
+    rows = odd_rows + [(100 + i, prose(i % 25, 40 + i % 3)) for i in range(90)]
+    path, kept, learned, train = tokenizer("byte_bpe_50k.tiktoken"), (12, 20), [], language_model.train
+    monkeypatch.setattr(language_model, "train", lambda docs, path: learned.append(train(docs, path)) or learned[-1])
+    monkeypatch.setattr(language_model, "FREQUENT", kept[0])
+    monkeypatch.setattr(language_model, "PAIRS", kept[1])
+    got = list(language_model.scored(frame(rows), language_model.held_out(F.col("doc_id")), path).toLocalIterator())
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    texts = [(t or "").encode().lower().split() + [None] for _, t, *_ in rows]
+    training = [ws for (i, *_), ws in zip(rows, texts, strict=True) if not out(i)]
+    c, pairs = Counter(w for ws in training for w in ws), Counter(p for ws in training for p in zip([None, *ws], ws))
+    kinds, total = Counter(before for before, _ in pairs), sum(c.values())
+    unseen = (sum(n == 1 and w is not None for w, n in c.items()) + 1) / (2 * total + 2)
+    subwords, want = language_model.Subwords(path), []
+    for (_, text, *_), ws in zip(rows, texts, strict=True):
+        tokens = language_model.Tokens([(text or "").encode().lower()], subwords)
+        logs, at, score = language_model.token_logs(learned[0], tokens), 0, 0.0
+        for before, w, k in zip([None, *ws], ws, [*tokens.sizes.tolist(), 1], strict=False):
+            spelt = unseen * math.exp(logs[at : at + k].sum()) / (k * (k + 1))
+            left = 0.75 * kinds[before] / c[before] if c[before] else 1.0
+            share = (pairs[before, w] - 0.75) / c[before] if pairs[before, w] else 0.0
+            score += math.log10((1 - unseen) * (share + left * (c[w] + 1) / (total + len(c) + 1)) + spelt)
+            at += k
+        want.append(score)
+    assert np.allclose(sorted(r.score for r in got), sorted(want), rtol=1e-5)
