@@ -1,8 +1,9 @@
 """Joins on names that very many rows share."""
 
+from conftest import rows
 from pyspark.sql import functions as F
 
-from loomgraph.operators import resolve
+from loomgraph.operators import imports, resolve
 from loomgraph.plans import warehouse
 from loomgraph.plans.queries import all_queries
 
@@ -58,3 +59,27 @@ def test_import_queries_write_only_the_facts_they_read(spark, monkeypatch):
     monkeypatch.setattr(warehouse, "_BUILT", {})
     all_queries()["r5_rust_use"](spark, "/root/testdata/sf0.001")
     assert set(warehouse.Warehouse(spark, "/root/testdata/sf0.001")._tables) == {"rust_uses", "rust_files", "rust_inline_mods"}
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_later_plans_do_not_grow_with_the_number_of_tiers(spark):
+    calls = spark.createDataFrame([("p", n) for n in range(20)], "project string, call_no int")
+
+    def tier(n):
+        return calls.where(F.col("call_no") % 10 == n).select("project", "call_no", *resolve.hit(F.lit(f"t{n}"), n % 2 == 0))
+
+    few, many = (resolve.tiered(["project", "call_no"], [tier(n) for n in range(size)]) for size in (2, 10))
+    assert scans(many) == scans(few)
+    assert rows(many, "call_no", "dst") == sorted(((n, f"t{n % 10}") for n in range(20)), key=repr)
+
+
+def test_rust_paths_are_followed_once(spark):
+    files = spark.createDataFrame([("p", "m", ["a"]), ("p", "n", ["b"])], "project string, module string, module_path array<string>")
+    uses = spark.createDataFrame([("p", "m", ["crate", "b", "x"], "x", 1), ("p", "m", ["std", "fmt"], "fmt", 2)],
+                                 "project string, module string, segments array<string>, local_name string, lineno int")
+    edges = imports.rust_uses(uses, files, spark.createDataFrame([], "project string, module string, name string"))
+    assert "Generate" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(edges, "dst", "certain") == [("external:std", True), ("n", True)]
