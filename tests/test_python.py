@@ -1,3 +1,5 @@
+import ast
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -73,3 +75,59 @@ def test_every_concept(spark):
         "context-manager", "async-await", "dunder-method", "exception-handling", "type-hint"}
     owners = {r.concept: r.node_id for r in found.where("concept IN ('dunder-method', 'dataclass', 'walrus')").collect()}
     assert owners == {"dunder-method": "c.P.__len__", "dataclass": "c.A", "walrus": "c.rest"}
+
+
+ODD = b'''
+import a.b as c
+class K(Base, metaclass=M):
+    x: int = f(1)
+    def m(self, p: T, *rest: U):
+        if p:
+            y: First = g(p)[h()]
+            def deep(q: int):
+                y: Other = lambda z: z(i())
+        try:
+            with k() as w, w.l():
+                y: Second = {**n(), "s": [o(v) for v in r() if v]}
+        except E as e:
+            y: Third = None
+        match p:
+            case [1, *_] if s():
+                z: Fourth = -t()
+        return f"{u(p)!r:>{w2()}}"
+async def outer():
+    async for item in a():
+        x.y().z(*b(), **c())
+'''
+
+
+def test_facts_are_found_without_walking_definitions_again(monkeypatch):
+    """Numbers and types against walks by the library of Python, which the extraction itself doesn't need."""
+    tree = ast.parse(ODD)
+    where = {}
+    pending = [tree]
+    number = 0
+    while pending:
+        scope = pending.pop()
+        waiting, nested = list(reversed(scope.body)), []
+        while waiting:
+            item = waiting.pop()
+            number += 1
+            if isinstance(item, extract._DEFINITION):
+                nested.append(item)
+                number += len(item.bases) if isinstance(item, ast.ClassDef) else 0
+                continue
+            number += len(item.names) if isinstance(item, ast.Import) else 0
+            if isinstance(item, ast.Call) and scope is not tree:
+                where[item.lineno, number] = ast.unparse(item.func)
+            waiting.extend(reversed(list(ast.iter_child_nodes(item))))
+        pending.extend(reversed(nested))
+    method = tree.body[1].body[1]
+    types = {"p": "T"} | {n.target.id: n.annotation.id for n in ast.walk(method) if isinstance(n, ast.AnnAssign)}
+    walked = []
+    monkeypatch.setattr(ast, "walk", lambda node: walked.append(node) or iter(()))
+    monkeypatch.setattr(ast, "iter_child_nodes", lambda node: walked.append(node) or iter(()))
+    found = list(extract._facts("m.py", ODD, "m"))
+    assert {(f["lineno"], f["seq"]) for f in found if f["fact"] == "call"} == set(where) and len(where) > 12
+    assert {f["name"]: f["target"] for f in found if f["fact"] == "type" and f["owner"] == "m.K.m"} == types and len(types) == 3
+    assert not walked
